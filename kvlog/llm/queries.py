@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from kvlog.llm.decontaminate import OP2_SQL, op2_decontaminate
 from kvlog.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 
-QUERIES: dict = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES: dict = {"op2_decontaminate": op2_decontaminate, "op9_exact_dedup": op9_exact_dedup}
 
-ORACLE_SQL: dict = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict = {"op2_decontaminate": OP2_SQL, "op9_exact_dedup": OP9_SQL}
