@@ -1,0 +1,236 @@
+"""Order-preserving sequence packing by dynamic programming over cut positions.
+
+Documents keep their order inside a task's share of the input.  Cuts may fall at document ends (free), at sentence ends
+(``SENTENCE_CUT``) and, only where neither comes for ``FREE_STEP`` tokens, between any two tokens (``FREE_CUT``).  The
+cuts minimise padding plus these truncation penalties: with ``key[i] = cost[i] + position[i]`` the best start of a
+window that ends at candidate j is the least key within ``length`` tokens, held by a monotone queue, so a block of m
+candidates takes O(m).  After each block all windows but the last are emitted and the last one is carried on, so memory
+is bounded by a block and the longest text.  At the end of a share the last window is split into powers of two, which
+need no padding.
+
+Tokens: a text is cut at space, line feed and tab, which the tokenizer drops; each distinct piece is encoded once and
+kept in a bounded cache.  Defined cases: null and empty texts are the end token alone; null ids pass through; repeated rows
+are packed once each; an empty table gives no pieces.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kvlog.llm.common import table
+
+LENGTH = 4096
+END_ID = 2
+SENTENCE_CUT, FREE_CUT, FREE_STEP = 8, 16, 32
+BLOCK_TOKENS = 1 << 19
+CACHE_PIECES = 400_000
+
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+#: ASCII marks that never join letters to one token (the apostrophe does).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Encoder:
+    """Text -> little-endian uint32 ids, through a bounded cache of white-space-delimited pieces."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.cache: dict[str, bytes] = {"": b""}
+        ends = [i for t, i in self.tok.get_vocab().items() if t.removesuffix("</w>")[-1:] in (".", "!", "?") and t.endswith("</w>")]
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        self.ends[ends] = True
+        self.word_ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        self.word_ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        if len(self.cache) > CACHE_PIECES:
+            self.cache = {"": b""}
+        cache, seen = self.cache, set()
+        for s in split:
+            seen.update(s)
+        self._learn([piece for piece in seen if piece not in cache])
+        return [b"".join(map(cache.__getitem__, s)) for s in split]
+
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Letters, or letters and then marks, are put together from lower-case words and runs of marks; the rest is encoded as it is."""
+        cache, parts, whole, words = self.cache, [], [], set()
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                low, marks = word.lower(), piece[len(word) :]
+                parts.append((piece, low, marks))
+                words.add(low)
+                if marks and marks not in cache:
+                    whole.append(marks)
+            else:
+                whole.append(piece)
+        self._encode_words([w for w in words if w not in cache])
+        for piece, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        for piece, low, marks in parts:
+            cache[piece] = cache[low] + cache[marks]
+
+    def _encode_words(self, pieces: list[str]) -> None:
+        """Each word of letters ends with the one token that carries the word end."""
+        for at in range(0, len(pieces), 5_000):
+            part = pieces[at : at + 5_000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer doesn't mark word ends as expected")
+            data, begin = ids.tobytes(), 0
+            for piece, stop in zip(part, stops, strict=True):
+                self.cache[piece] = data[begin * 4 : stop * 4]
+                begin = stop
+
+
+def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
+    """Ends of the cheapest windows from positions[0] to positions[-1]; neighbours are at most ``length`` apart."""
+    m = len(positions)
+    key, prev, queue, head = [positions[0]] + [0] * (m - 1), [0] * m, [0], 0
+    for j in range(1, m):
+        low = positions[j] - length
+        while positions[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        prev[j] = i
+        key[j] = k = key[i] + length + penalties[j]
+        while len(queue) > head and key[queue[-1]] >= k:
+            queue.pop()
+        queue.append(j)
+    out, j = [], m - 1
+    while j:
+        out.append(positions[j])
+        j = prev[j]
+    return out[::-1]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that tasks which follow each other share its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+class Packer:
+    def __init__(self, ends: np.ndarray, length: int, first_sequence: int):
+        self.ends, self.length, self.sequence = ends, length, first_sequence
+        self.docs: list[tuple[object, bytes, int, int]] = []  # id, ids, tokens, place in the stream
+        self.at = self.done = 0  # end of the stream; everything before `done` is emitted
+        self.positions, self.penalties, self.rows = [0], [0], []
+
+    def _candidate(self, where: int, penalty: int) -> None:
+        last = self.positions[-1]
+        while where - last > min(FREE_STEP, self.length):
+            last += min(FREE_STEP, self.length)
+            self.positions.append(last)
+            self.penalties.append(FREE_CUT)
+        if where > last:
+            self.positions.append(where)
+            self.penalties.append(penalty)
+
+    def add(self, doc_id, ids: bytes) -> None:
+        n = len(ids) // 4
+        inner = (np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 1 + self.at).tolist()
+        for x in inner:
+            if x < self.at + n - 1:
+                self._candidate(x, SENTENCE_CUT)
+        self._candidate(self.at + n, 0)
+        self.docs.append((doc_id, ids, n, self.at))
+        self.at += n
+        if self.at - self.done >= BLOCK_TOKENS:
+            self.flush(False)
+
+    def flush(self, last: bool) -> None:
+        if self.at == self.done:
+            return
+        ends = cuts(self.positions, self.penalties, self.length)
+        if last:
+            tail_from = ends[-2] if len(ends) > 1 else self.done
+            left = ends.pop() - tail_from
+            while left:
+                part = min(self.length, 1 << (left.bit_length() - 1))
+                tail_from += part
+                left -= part
+                ends.append(tail_from)
+        else:
+            ends.pop()
+        k, begin = 0, self.done
+        for end in ends:
+            at = begin
+            while at < end:
+                doc_id, ids, n, place = self.docs[k]
+                stop = min(end, place + n)
+                piece = memoryview(ids)[(at - place) * 4 : (stop - place) * 4]
+                self.rows.append((doc_id, at - place, stop - at, zlib.crc32(piece), n, self.sequence, at - begin))
+                at = stop
+                if stop == place + n:
+                    k += 1
+            self.sequence += 1
+            begin = end
+        self.docs = self.docs[k:]
+        self.done = begin
+        keep = np.searchsorted(self.positions, begin)
+        self.positions, self.penalties = self.positions[keep:], self.penalties[keep:]
+
+    def take(self) -> list[tuple]:
+        out, self.rows = self.rows, []
+        return out
+
+
+def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, path: str | None = None) -> DataFrame:
+    """One row per piece of a document; see the module's text."""
+    path = path or tokenizer_path()
+    schema = pa.schema([("doc_id", pa.int64())] + [(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = encoder(path)
+        end = np.array([END_ID], dtype="<u4").tobytes()
+        packer = Packer(own.ends, length, TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for i, ids in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
+                    packer.add(i, ids + end)
+            if packer.rows:
+                yield _to_batch(packer.take(), schema)
+        packer.flush(True)
+        if packer.rows:
+            yield _to_batch(packer.take(), schema)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def op8_packing(spark, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))

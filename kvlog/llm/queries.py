@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from kvlog.llm.decontaminate import OP2_SQL, op2_decontaminate
 from kvlog.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from kvlog.llm.packing import op8_packing
+from kvlog.llm.warc import OP5_SQL, op5_warc
 
-QUERIES: dict = {"op2_decontaminate": op2_decontaminate, "op9_exact_dedup": op9_exact_dedup}
+QUERIES: dict = {
+    "op2_decontaminate": op2_decontaminate,
+    "op5_warc": op5_warc,
+    "op8_packing": op8_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
-ORACLE_SQL: dict = {"op2_decontaminate": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+#: op8 has no SQL (a tokenizer and a dynamic program): see tests/llm/test_packing.py.
+ORACLE_SQL: dict = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
