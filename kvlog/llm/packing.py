@@ -16,6 +16,7 @@ are packed once each; an empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Encoder:
-    """Text -> little-endian uint32 ids, through a bounded cache of white-space-delimited pieces."""
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE has for each byte: printable Latin-1 stands for itself, the others count up from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+class Encoder(dict):
+    """White-space-delimited piece -> little-endian uint32 ids, filled as pieces come.
+
+    Letters, or letters and then marks, are put together from a lower-case word, which the BPE model gets directly, and
+    a run of marks; everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,56 +65,36 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        ends = [i for t, i in self.tok.get_vocab().items() if t.removesuffix("</w>")[-1:] in (".", "!", "?") and t.endswith("</w>")]
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
-        self.ends[ends] = True
-        self.word_ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
-        self.word_ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {"": b""}
-        cache, seen = self.cache, set()
-        for s in split:
-            seen.update(s)
-        self._learn([piece for piece in seen if piece not in cache])
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
-
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Letters, or letters and then marks, are put together from lower-case words and runs of marks; the rest is encoded as it is."""
-        cache, parts, whole, words = self.cache, [], [], set()
-        for piece in pieces:
-            word = piece.rstrip(MARKS)
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                low, marks = word.lower(), piece[len(word) :]
-                parts.append((piece, low, marks))
-                words.add(low)
-                if marks and marks not in cache:
-                    whole.append(marks)
-            else:
-                whole.append(piece)
-        self._encode_words([w for w in words if w not in cache])
-        for piece, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        for piece, low, marks in parts:
-            cache[piece] = cache[low] + cache[marks]
-
-    def _encode_words(self, pieces: list[str]) -> None:
-        """Each word of letters ends with the one token that carries the word end."""
-        for at in range(0, len(pieces), 5_000):
-            part = pieces[at : at + 5_000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
-            if len(stops) != len(part):
-                raise ValueError("the tokenizer doesn't mark word ends as expected")
-            data, begin = ids.tobytes(), 0
-            for piece, stop in zip(part, stops, strict=True):
-                self.cache[piece] = data[begin * 4 : stop * 4]
-                begin = stop
+        self.words: dict[str, bytes] = {}
+        self.model = self.tok.model.tokenize
+        self.letters = dict(enumerate(_byte_letters()))
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith((".</w>", "!</w>", "?</w>"))]] = True
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            low = word.lower()
+            ids = self.words.get(low)
+            if ids is None:
+                plain = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                ids = self.words[low] = array("I", [t.id for t in self.model(plain)]).tobytes()
+            if len(word) < len(piece):
+                ids += self[piece[len(word) :]]
+        else:
+            ids = array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHE_PIECES:
+            self.clear()
+            self.words.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
@@ -218,11 +210,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: in
         end = np.array([END_ID], dtype="<u4").tobytes()
         packer = Packer(own.ends, length, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, ids in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
-                    packer.add(i, ids + end)
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                packer.add(i.as_py(), own.encode(t.as_py() or "") + end)
             if packer.rows:
                 yield _to_batch(packer.take(), schema)
         packer.flush(True)
