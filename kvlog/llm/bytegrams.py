@@ -40,6 +40,19 @@ def groups(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]
         begin = end
 
 
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """_P to the powers 0, 1, ... and their inverses modulo 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            x = np.full(n, np.uint64(base))
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x)
+    return _POWERS
+
+
 class Texts:
     """Several texts in one buffer, a space before, between and after them."""
 
@@ -59,23 +72,11 @@ class Texts:
         self.first = np.searchsorted(self.begin, self.starts)
 
     def word_hashes(self) -> np.ndarray:
-        """One 64-bit hash a word, the same wherever the word stands: a sum of per-offset mixed bytes."""
-        out = np.zeros(len(self.begin), dtype=np.uint64)
-        length = self.end - self.begin
-        left = np.arange(len(out))
-        k = 0
-        while len(left):
-            # eight bytes a step, words that are longer go on
-            at, rest = self.begin[left] + 8 * k, length[left] - 8 * k
-            chunk = np.zeros(len(left), dtype=np.uint64)
-            for j in range(8):
-                more = rest > j
-                byte = self.buf[np.minimum(at + j, len(self.buf) - 1)].astype(np.uint64)
-                chunk |= np.where(more, byte, 0).astype(np.uint64) << np.uint64(8 * j)
-            out[left] = mix((out[left] ^ chunk) * _P + np.uint64(k + 1))
-            left = left[rest > 8]
-            k += 1
-        return mix(out ^ length.astype(np.uint64))
+        """One 64-bit hash a word, the same wherever the word stands: a polynomial of its bytes from prefix sums."""
+        up, down = _powers(len(self.buf))
+        run = np.zeros(len(self.buf) + 1, dtype=np.uint64)
+        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=run[1:])
+        return mix((run[self.end] - run[self.begin]) * down[self.begin])
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of the n-byte grams whose inner bytes are no white space; white space counts as one character."""
@@ -97,16 +98,23 @@ class Texts:
         return np.searchsorted(at, self.starts - 1)
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the runs of ``size`` consecutive words; one hash of all of them where there are fewer, none for none."""
-    if len(words) == 0:
-        return words
-    if len(words) < size:
-        h = np.uint64(len(words))
-        for w in words:
-            h = mix(np.array([h * _P + w], dtype=np.uint64))[0]
-        return np.array([h], dtype=np.uint64)
-    h = np.zeros(len(words) - size + 1, dtype=np.uint64)
+def shingle_sets(t: Texts, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's runs of ``size`` words; of all its words where it has fewer; none for none."""
+    words = t.word_hashes()
+    m = max(len(words) - size + 1, 0)
+    h = np.zeros(m, dtype=np.uint64)
     for j in range(size):
-        h = mix(h * _P + words[j : j + len(h)])
-    return h
+        h = mix(h * _P + words[j : j + m])
+    out = []
+    for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
+        if b - a >= size:
+            one = np.sort(h[a : b - size + 1])
+            out.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
+        elif b > a:
+            x = np.array([b - a], dtype=np.uint64)
+            for w in words[a:b]:
+                x = mix(x * _P + w)
+            out.append(x)
+        else:
+            out.append(words[:0])
+    return out

@@ -74,6 +74,11 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, all columns.  Only rows that the filter flags are shuffled with their texts."""
+    return split(docs, text, doc_id)[1]
+
+
+def split(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The verdict on every row (see ``decide``), and the rows that stay."""
     verdicts = decide(docs, text, doc_id)
     masks, log_words = verdicts._filter
     lost = (
@@ -88,7 +93,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     judged = flagged.join(lost, (F.col("_sha2") == F.col("_sha")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     single = judged.where(F.col("_n").isNull()).select(*docs.columns)
     repeated = judged.where(F.col("_kept") & (F.col("_n") > 1)).dropDuplicates(["_sha", "_id"]).select(*docs.columns)
-    return passed.unionByName(single).unionByName(repeated)
+    return verdicts, passed.unionByName(single).unionByName(repeated)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvlog.llm.bytegrams import SPACE, Texts, groups
 from kvlog.llm.sampling import held_out, labelled_sample
@@ -94,7 +95,6 @@ def score(texts: pa.Array, model: dict) -> np.ndarray:
 
 def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> DataFrame:
     """All columns of docs, then the double ``column``: scorer(Arrow array of texts) of each row."""
-    schema = docs.schema
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> Dat
             got = pa.array(scorer(batch.column(place)), type=pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema.add(column, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kvlog.llm.decontaminate import OP2_SQL, op2_decontaminate
 from kvlog.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from kvlog.llm.jaccard import OP7_SQL, op7_jaccard
 from kvlog.llm.packing import op8_packing
 from kvlog.llm.quality import op3_quality
 from kvlog.llm.toxicity import op6_toxicity
@@ -14,10 +15,11 @@ QUERIES: dict = {
     "op3_quality": op3_quality,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 #: op3 and op6 have no SQL (trained models): held-out accuracy is tested.
 #: op8 has no SQL (a tokenizer and a dynamic program): see tests/llm/test_packing.py.
-ORACLE_SQL: dict = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op9_exact_dedup": OP9_SQL}
