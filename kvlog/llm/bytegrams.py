@@ -100,7 +100,7 @@ class Texts:
 
 def shingle_sets(t: Texts, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of ``size`` words; of all its words where it has fewer; none for none."""
-    words = t.word_hashes()
+    words = t.words = t.word_hashes()
     m = max(len(words) - size + 1, 0)
     h = np.zeros(m, dtype=np.uint64)
     for j in range(size):

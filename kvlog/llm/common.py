@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +78,17 @@ def smallest_of_group(rows: DataFrame, key: str, order: Column) -> DataFrame:
     whole = part.groupBy(key).agg(F.min("_first").alias("first"), F.sum("_n").alias("group_size"))
     back = part.select(key, "_salt").join(whole, key)
     return salted.join(back, [key, "_salt"]).drop("_salt")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of every executor, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kvlog_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    at = pathlib.Path(tempfile.mkdtemp(prefix="kvlog-package-")) / "kvlog-package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._kvlog_shipped = True

@@ -57,9 +57,8 @@ def marked(rows: DataFrame, masks: DataFrame, log_words: int, sha: str = "sha")
     return with_word.join(F.broadcast(masks), "_bucket", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_w", "_bucket", "_mask")
 
 
-def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, _maybe."""
-    rows = digests(docs, text, doc_id)
+def verdicts(rows: DataFrame) -> tuple[DataFrame, tuple[DataFrame, int]]:
+    """For rows (id, sha, _row) that can be read again cheaply: id, keep_id, group_size, kept, text_sha256, _maybe; the filter."""
     masks, log_words = suspects(rows, rows.count())
     masks = cut(masks)
     tested = marked(rows, masks, log_words)
@@ -67,37 +66,36 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("_row").alias("row"))
     grouped = smallest_of_group(tested.where("_maybe"), "sha", order)
     shared = grouped.select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("first.row") == F.col("_row")).alias("kept"), F.col("sha").alias("text_sha256"), "_maybe")
-    out = alone.unionByName(shared)
-    out._filter = (masks, log_words)
-    return out
+    return alone.unionByName(shared), (masks, log_words)
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, all columns.  Only rows that the filter flags are shuffled with their texts."""
-    return split(docs, text, doc_id)[1]
-
-
-def split(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The verdict on every row (see ``decide``), and the rows that stay."""
-    verdicts = decide(docs, text, doc_id)
-    masks, log_words = verdicts._filter
+def kept_rows(wide: DataFrame, found: DataFrame, masks: DataFrame, log_words: int, doc_id: str = "doc_id", sha: str = "_sha") -> DataFrame:
+    """The rows of ``wide`` (with its digest in column ``sha``) that stay.  Only flagged rows are shuffled with their texts."""
+    names = wide.columns
     lost = (
-        verdicts.where("_maybe")
-        .groupBy(F.col("text_sha256").alias("_sha"), F.col("id").alias("_id"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-        .where(~F.col("_kept") | (F.col("_n") > 1))
+        found.where("_maybe")
+        .groupBy(F.col("text_sha256").alias("_lost_sha"), F.col("id").alias("_lost_id"))
+        .agg(F.max("kept").alias("_lost_kept"), F.count(F.lit(1)).alias("_lost_n"))
+        .where(~F.col("_lost_kept") | (F.col("_lost_n") > 1))
     )
-    tested = marked(docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256)), masks, log_words, "_sha")
-    passed = tested.where(~F.col("_maybe")).select(*docs.columns)
-    flagged = tested.where("_maybe").withColumnRenamed("_sha", "_sha2")
-    judged = flagged.join(lost, (F.col("_sha2") == F.col("_sha")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    single = judged.where(F.col("_n").isNull()).select(*docs.columns)
-    repeated = judged.where(F.col("_kept") & (F.col("_n") > 1)).dropDuplicates(["_sha", "_id"]).select(*docs.columns)
-    return verdicts, passed.unionByName(single).unionByName(repeated)
+    tested = marked(wide, masks, log_words, sha)
+    passed = tested.where(~F.col("_maybe")).select(*names)
+    same = (F.col(sha) == F.col("_lost_sha")) & F.col(doc_id).eqNullSafe(F.col("_lost_id"))
+    judged = tested.where("_maybe").join(lost, same, "left")
+    single = judged.where(F.col("_lost_n").isNull()).select(*names)
+    repeated = judged.where(F.col("_lost_kept") & (F.col("_lost_n") > 1)).dropDuplicates(["_lost_sha", "_lost_id"]).select(*names)
+    return passed.unionByName(single).unionByName(repeated)
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows that stay, all columns."""
+    found, (masks, log_words) = verdicts(digests(docs, text, doc_id))
+    wide = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
+    return kept_rows(wide, found, masks, log_words, doc_id).drop("_sha")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    out = decide(table(spark, sf_dir, "documents"))
+    out, _ = verdicts(digests(table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -21,62 +21,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.bytegrams import SPACE, Texts, groups, shingle_sets
-from kvlog.llm.common import ascii_lower, cut, stored, table
+from kvlog.llm.bytegrams import SPACE, Texts, groups, mix, shingle_sets
+from kvlog.llm.common import cut, ship, stored, table
 from kvlog.llm.components import components
 
 SIZE = 5
 #: Shingles of at least so many documents count as common; at most MAX_COMMON are told to the tasks (2 MiB). Order only.
 COMMON_DF, MAX_COMMON = 64, 1 << 17
-BLOCK_SHINGLES = 1 << 21
+#: Reported from a block of BLOCK_SHINGLES when so many of its texts have the shingle.
+LOCAL_DF = 3
+BLOCK_SHINGLES = 1 << 22
 
 
-def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
-    for begin, part in groups(batch.column(column)):
+def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, shingle set) of each text."""
+    for _, part in groups(batch.column(column)):
         t = Texts(part, lower=True)
         t.split(SPACE)
-        yield from enumerate(shingle_sets(t, SIZE), begin)
+        sets = shingle_sets(t, SIZE)
+        words = t.words
+        for k, one in enumerate(sets):
+            yield words[t.first[k] : t.first[k + 1]], one
+
+
+def _digest(words: np.ndarray) -> bytes:
+    """128 bits of a text's word hashes in their order."""
+    at = np.arange(1, len(words) + 1, dtype=np.uint64)
+    return (int(mix(words + at * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)) << 64 | int(mix(words * np.uint64(3) ^ mix(at)).sum(dtype=np.uint64))).to_bytes(16, "little")
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """Rows (id, n, null, null) for every document, (null, null, hash, df) for shingles that a block has often."""
+    """Rows (id, n, sha) for every document, rows (hash, df) for shingles that several documents of a block have.
+
+    Within a block each text counts once, however many copies it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        known: set[bytes] = set()
         size = 0
 
         def often() -> tuple[np.ndarray, np.ndarray]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= max(4, len(held) // 2000)
+            keep = n >= LOCAL_DF
             return h[keep].view(np.int64), n[keep]
 
-        def emit(ids, ns, hs, dfs) -> pa.RecordBatch:
+        def emit(ids, ns, shas, hs, dfs) -> pa.RecordBatch:
             k, m = len(ids), len(hs)
-            none = lambda x: pa.nulls(x, pa.int64())
-            cols = [[pa.array(ids, pa.int64()), none(m)], [pa.array(ns, pa.int64()), none(m)], [none(k), pa.array(hs, pa.int64())], [none(k), pa.array(dfs, pa.int64())]]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=["id", "n", "hash", "df"])
+            none = lambda x, t=pa.int64(): pa.nulls(x, t)
+            cols = [
+                [pa.array(ids, pa.int64()), none(m)],
+                [pa.array(ns, pa.int64()), none(m)],
+                [pa.array(shas, pa.binary()), none(m, pa.binary())],
+                [none(k), pa.array(hs, pa.int64())],
+                [none(k), pa.array(dfs, pa.int64())],
+            ]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=["id", "n", "sha", "hash", "df"])
 
         for batch in batches:
-            ns = np.zeros(batch.num_rows, dtype=np.int64)
+            ns, shas = [], []
             hs, dfs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, one in _sets(batch, 1):
-                ns[i] = len(one)
+            for words, one in _sets(batch, 1):
+                ns.append(len(one))
+                shas.append(sha := _digest(words))
+                if sha in known:
+                    continue
+                known.add(sha)
                 held.append(one)
                 size += len(one)
                 if size >= BLOCK_SHINGLES:
                     h, n = often()
                     hs.append(h)
                     dfs.append(n)
-                    held, size = [], 0
-            yield emit(batch.column(0).to_pylist(), ns, np.concatenate(hs), np.concatenate(dfs))
+                    held, size, known = [], 0, set()
+            yield emit(batch.column(0).to_pylist(), ns, shas, np.concatenate(hs), np.concatenate(dfs))
         if held:
-            yield emit([], [], *often())
+            yield emit([], [], [], *often())
 
-    return docs.mapInArrow(run, "id long, n long, hash long, df long")
+    return docs.mapInArrow(run, "id long, n long, sha binary, hash long, df long")
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = []
+            for _, part in groups(batch.column(1)):
+                t = Texts(part, lower=True)
+                t.split(SPACE)
+                words = t.word_hashes()
+                shas.extend(_digest(words[a:b]) for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=["id", "text", "_sha"])
+
+    return docs.mapInArrow(run, "id long, text string, _sha binary")
 
 
 def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -92,7 +132,7 @@ def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             def out() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(who, dtype=np.int64), list(map(len, keys)))), pa.array(np.repeat(np.array(ns, dtype=np.int64), list(map(len, keys))))], names=["key", "id", "n"])
 
-            for i, one in _sets(batch, 1):
+            for i, (_, one) in enumerate(_sets(batch, 1)):
                 n = len(one)
                 if not n:
                     continue
@@ -254,10 +294,6 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-
-
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose id is in ids (id): a bitmap of bounded size drops nearly all others before the texts are shuffled."""
     flags = ids.select(F.col("id").cast("string").alias("sha"))
@@ -271,10 +307,12 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, keep_id (least id with the same words)."""
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), _normal(F.col(text)).alias("text"))
-    verdicts, distinct = exact.split(base, "text", "id")
-    distinct = distinct.where(F.col("id").isNotNull())
-    survey = stored(_surveyed(distinct), "survey")
+    ship(docs.sparkSession)
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    survey = stored(_surveyed(base), "survey")
+    rows = cut(survey.where(F.col("sha").isNotNull()).select("id", "sha", "n", F.monotonically_increasing_id().alias("_row")))
+    verdicts, (masks, log_words) = exact.verdicts(rows.select("id", "sha", "_row"))
+    distinct = exact.kept_rows(_with_digest(base), verdicts, masks, log_words, "id").drop("_sha").where(F.col("id").isNotNull())
     hot = survey.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_DF).orderBy(F.desc("df"), "hash").limit(MAX_COMMON).collect()
     hashes = np.array([r["hash"] for r in hot], dtype=np.int64).view(np.uint64)
     ranks = np.arange(len(hot), 0, -1)  # the commonest last
@@ -308,7 +346,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     parts = parts.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(parts, "id", "left_anti").select("id", F.col("id").alias("component")))
     final = parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
 
-    sizes = survey.where(F.col("hash").isNull()).groupBy("id").agg(F.max("n").alias("n_shingles"))
+    sizes = rows.join(verdicts.where("kept").select("id", F.col("text_sha256").alias("sha")), ["id", "sha"]).groupBy("id").agg(F.max("n").alias("n_shingles"))
     known = cut(sizes.join(final.groupBy("id").agg(F.min("component").alias("component")), "id", "left").select(F.col("id").alias("keep_id"), "n_shingles", F.coalesce("component", "id").alias("component_id")))
     return verdicts.select("id", "keep_id").join(known, "keep_id", "left").select("id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"), "keep_id")
 

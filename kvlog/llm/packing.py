@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import table
+from kvlog.llm.common import ship, table
 
 LENGTH = 4096
 END_ID = 2
@@ -200,6 +200,7 @@ def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row per piece of a document; see the module's text."""
+    ship(docs.sparkSession)
     path = path or tokenizer_path()
     schema = pa.schema([("doc_id", pa.int64())] + [(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")[1:]])
 

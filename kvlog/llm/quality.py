@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from kvlog.llm.bytegrams import SPACE, Texts, groups
 from kvlog.llm.sampling import held_out, labelled_sample
-from kvlog.llm.common import table
+from kvlog.llm.common import ship, table
 
 SAMPLE = 2000
 BUCKETS_LOG2, DIM, EPOCHS, RATE = 16, 16, 6, 0.5
@@ -95,6 +95,7 @@ def score(texts: pa.Array, model: dict) -> np.ndarray:
 
 def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> DataFrame:
     """All columns of docs, then the double ``column``: scorer(Arrow array of texts) of each row."""
+    ship(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
