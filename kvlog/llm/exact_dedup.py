@@ -49,6 +49,13 @@ def suspects(rows: DataFrame, n: int, sha: str = "sha") -> tuple[DataFrame, int]
     return seen.groupBy(F.shiftright("w", 6).alias("_bucket")).agg(F.bit_or(one).alias("_mask")), log_words
 
 
+def masks_of(keys: DataFrame, n: int, key: str = "sha") -> tuple[DataFrame, int]:
+    """(bucket, mask) that flag every one of the keys, and few others while they are fewer than 2**MAX_LOG_WORDS / 8."""
+    log_words = min(MAX_LOG_WORDS, max(MIN_LOG_WORDS, math.ceil(math.log2(8 * max(n, 1)))))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
+    return keys.select(_word(F.col(key), log_words)[0].alias("w")).groupBy(F.shiftright("w", 6).alias("_bucket")).agg(F.bit_or(one).alias("_mask")), log_words
+
+
 def marked(rows: DataFrame, masks: DataFrame, log_words: int, sha: str = "sha") -> DataFrame:
     """Pass 2: rows with ``_maybe``, true where the filter has seen the row's bit twice."""
     word, _ = _word(F.col(sha), log_words)

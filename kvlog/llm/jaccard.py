@@ -296,11 +296,9 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose id is in ids (id): a bitmap of bounded size drops nearly all others before the texts are shuffled."""
-    flags = ids.select(F.col("id").cast("string").alias("sha"))
-    log_words = exact.MAX_LOG_WORDS - 7
-    word, _ = exact._word(F.col("sha"), log_words)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
-    masks = cut(flags.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("_bucket")).agg(F.bit_or(bit).alias("_mask")))
+    ids = cut(ids)
+    masks, log_words = exact.masks_of(ids.select(F.col("id").cast("string").alias("sha")), ids.count())
+    masks = cut(masks)
     near = exact.marked(docs.withColumn("sha", F.col("id").cast("string")), masks, log_words).where("_maybe").drop("sha", "_maybe")
     return near.join(ids, "id", "left_semi")
 
