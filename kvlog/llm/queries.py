@@ -5,6 +5,7 @@ from __future__ import annotations
 from kvlog.llm.decontaminate import OP2_SQL, op2_decontaminate
 from kvlog.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from kvlog.llm.jaccard import OP7_SQL, op7_jaccard
+from kvlog.llm.licenses import op4_licenses
 from kvlog.llm.line_dedup import OP10_SQL, op10_line_dedup
 from kvlog.llm.packing import op8_packing
 from kvlog.llm.quality import op3_quality
@@ -16,6 +17,7 @@ QUERIES: dict = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard": op7_jaccard,
@@ -25,5 +27,6 @@ QUERIES: dict = {
 }
 
 #: op3 and op6 have no SQL (trained models): held-out accuracy is tested.
+#: op4 has none either (labels of its own): its base columns are tested against brute force.
 #: op8 has no SQL (a tokenizer and a dynamic program): see tests/llm/test_packing.py.
 ORACLE_SQL: dict = {"op1_sharding": op1_sql(), "op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
