@@ -30,10 +30,10 @@ from kvlog.llm.common import cut, ship, stored, table
 from kvlog.llm.components import components
 
 SIZE = 5
-#: Shingles of at least so many documents count as common; at most MAX_COMMON are told to the tasks (2 MiB). Order only.
-COMMON_DF, MAX_COMMON = 64, 1 << 17
+#: Shingles of at least so many documents count as common; at most MAX_COMMON are told to the tasks (4 MiB). Order only.
+COMMON_DF, MAX_COMMON = 8, 1 << 18
 #: Reported from a block of BLOCK_SHINGLES when so many of its texts have the shingle.
-LOCAL_DF = 3
+LOCAL_DF = 2
 BLOCK_SHINGLES = 1 << 22
 
 
@@ -188,7 +188,9 @@ def may_link(n: int, sig: np.ndarray, ns: np.ndarray, sigs: np.ndarray) -> np.nd
     return 180 * most >= 80 * (n + ns)
 
 
-def _with_arrays(docs: DataFrame) -> DataFrame:
+def _with_arrays(docs: DataFrame, arrays: bool) -> DataFrame:
+    """(id, n, sig) of every document, with the sorted array too if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -196,12 +198,26 @@ def _with_arrays(docs: DataFrame) -> DataFrame:
                 t = Texts(part, lower=True)
                 t.split(SPACE)
                 sets = shingle_sets(t, SIZE)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    names=["id", "n", "sig", "arr"],
-                )
+                columns = [ids.slice(begin, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([signature(x).tobytes() for x in sets], pa.binary())]
+                if arrays:
+                    columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "arr"][: len(columns)])
+
+    return docs.mapInArrow(run, "id long, n long, sig binary" + ", arr binary" * arrays)
+
 
-    return docs.mapInArrow(run, "id long, n long, sig binary, arr binary")
+def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bound on their overlap allows."""
+    a = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    b = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, na, sa, nb, sb = (c.to_pylist() for c in batch.columns)
+            ok = [bool(may_link(n, np.frombuffer(x, np.uint64), np.array([m]), np.frombuffer(y, np.uint64)[None])[0]) for n, x, m, y in zip(na, sa, nb, sb, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -295,12 +311,14 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id is in ids (id): a bitmap of bounded size drops nearly all others before the texts are shuffled."""
-    ids = cut(ids)
-    masks, log_words = exact.masks_of(ids.select(F.col("id").cast("string").alias("sha")), ids.count())
-    masks = cut(masks)
-    near = exact.marked(docs.withColumn("sha", F.col("id").cast("string")), masks, log_words).where("_maybe").drop("sha", "_maybe")
-    return near.join(ids, "id", "left_semi")
+    """docs whose id is in ids (id), and few others: a bitmap of bounded size is broadcast, nothing is shuffled."""
+    ids = cut(ids.select(F.col("id").cast("string").alias("sha")).distinct())
+    masks, log_words = exact.masks_of(ids, ids.count())
+    return exact.marked(docs.withColumn("sha", F.col("id").cast("string")), cut(masks), log_words).where("_maybe").drop("sha", "_maybe")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -311,9 +329,9 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     rows = cut(survey.where(F.col("sha").isNotNull()).select("id", "sha", "n", F.monotonically_increasing_id().alias("_row")))
     verdicts, (masks, log_words) = exact.verdicts(rows.select("id", "sha", "_row"))
     distinct = exact.kept_rows(_with_digest(base), verdicts, masks, log_words, "id").drop("_sha").where(F.col("id").isNotNull())
-    hot = survey.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_DF).orderBy(F.desc("df"), "hash").limit(MAX_COMMON).collect()
-    hashes = np.array([r["hash"] for r in hot], dtype=np.int64).view(np.uint64)
-    ranks = np.arange(len(hot), 0, -1)  # the commonest last
+    hot = survey.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_DF).orderBy(F.desc("df"), "hash").limit(MAX_COMMON).toArrow()
+    hashes = hot.column("hash").to_numpy().astype(np.int64).view(np.uint64)
+    ranks = np.arange(len(hashes), 0, -1, dtype=np.int32)  # the commonest last
     order = np.argsort(hashes)
     keyed = _keyed(distinct, (hashes[order], ranks[order]))
 
@@ -321,27 +339,29 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     fits = (5 * F.col("pn") >= 4 * F.col("n")) | (5 * F.col("n") >= 4 * F.col("nn"))
     seen = keyed.withColumns({"pid": F.lag("id").over(by_key), "pn": F.lag("n").over(by_key), "nn": F.lead("n").over(by_key)}).where(F.coalesce(fits, F.lit(False)))
     shared = stored(seen.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))).select("key", "id", "n", "band", "pid", "pn"), "shared")
-    arrays = stored(_with_arrays(_only(distinct, shared.select("id").distinct())), "arrays")
+    named_docs = base.where(F.col("id").isNotNull())
+    sigs = stored(_with_arrays(_only(named_docs, shared.select("id")), False), "signatures")
 
     star = shared.withColumn("c", F.first("id").over(Window.partitionBy("key", "band").orderBy("n", "id")))
     pairs = star.select(F.col("c").alias("x"), F.col("id").alias("y")).unionByName(
         star.where((F.col("c") == F.col("id")) & (5 * F.col("pn") >= 4 * F.col("n"))).select(F.col("pid").alias("x"), F.col("id").alias("y"))
     )
     pairs = cut(pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    first = cut(_verified(pairs, arrays))
+    likely = cut(_possible(pairs, sigs))
+    first = cut(_verified(likely, stored(_with_arrays(_only(named_docs, _ends(likely)), True), "arrays")))
     parts = components(first)
 
     named = shared.select("key", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    open_rows = named.join(several, "key").join(arrays.select("id", "sig"), "id")
-    more = _tiles(open_rows).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = cut(_verified(cut(more), arrays))
+    open_rows = named.join(several, "key").join(sigs.select("id", "sig"), "id")
+    more = cut(_tiles(open_rows).distinct().join(likely, ["a", "b"], "left_anti"))
+    second = cut(_verified(more, stored(_with_arrays(_only(named_docs, _ends(more)), True), "arrays")))
     # contracted by the first components, so that only new links are worked on
     as_a = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     as_b = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     over = second.join(as_a, "a", "left").join(as_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(over)
-    parts = parts.unionByName(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(parts, "id", "left_anti").select("id", F.col("id").alias("component")))
+    parts = parts.unionByName(_ends(second).distinct().join(parts, "id", "left_anti").select("id", F.col("id").alias("component")))
     final = parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
 
     sizes = rows.join(verdicts.where("kept").select("id", F.col("text_sha256").alias("sha")), ["id", "sha"]).groupBy("id").agg(F.max("n").alias("n_shingles"))
