@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in groups of about so many bytes, which bounds the arrays' memory.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,6 +53,13 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that what becomes Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Texts:
     """Several texts in one buffer, a space before, between and after them."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.bytegrams import SPACE, Texts, groups, mix, shingle_sets
+from kvlog.llm.bytegrams import SPACE, Texts, groups, mix, shingle_sets, small
 from kvlog.llm.common import cut, ship, stored, table
 from kvlog.llm.components import components
 
@@ -34,7 +34,7 @@ SIZE = 5
 COMMON_DF, MAX_COMMON = 8, 1 << 18
 #: Reported from a block of BLOCK_SHINGLES when so many of its texts have the shingle.
 LOCAL_DF = 2
-BLOCK_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 21
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -212,7 +212,7 @@ def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     b = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             _, _, na, sa, nb, sb = (c.to_pylist() for c in batch.columns)
             ok = [bool(may_link(n, np.frombuffer(x, np.uint64), np.array([m]), np.frombuffer(y, np.uint64)[None])[0]) for n, x, m, y in zip(na, sa, nb, sb, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -230,7 +230,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray]] = []  # arrays of the current a: one, unless rows share an id
         current = None
-        for batch in batches:
+        for batch in small(batches):
             out_a, out_b = [], []
             for a, k, b, sig, arr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != current:
@@ -242,9 +242,9 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 for mine, ms in own:
                     if not may_link(len(mine), ms, np.array([len(one)]), s[None])[0]:
                         continue
-                    small, large = (mine, one) if len(mine) <= len(one) else (one, mine)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both = int((large[at] == small).sum())
+                    fewer, most = (mine, one) if len(mine) <= len(one) else (one, mine)
+                    at = np.minimum(np.searchsorted(most, fewer), len(most) - 1)
+                    both = int((most[at] == fewer).sum())
                     if 100 * both >= 80 * (len(mine) + len(one) - both):
                         out_a.append(a)
                         out_b.append(b)
@@ -273,7 +273,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
                 blocks[width] = got
             return got
 
-        for batch in batches:
+        for batch in small(batches):
             out_a, out_b = [], []
             waiting: list[tuple[int, int, int, np.ndarray]] = []
 
