@@ -1,0 +1,108 @@
+"""Reports over operation traces and block-access traces."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def totals(trace: DataFrame, op: str, key: str, success: Column) -> DataFrame:
+    return trace.groupBy(op).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct(key).alias("keys"), F.avg(success.cast("double")).alias("success"))
+
+
+def key_stats(trace: DataFrame, key: str, more_than: int = 0) -> DataFrame:
+    """Accesses of each key with a dense id in key order (one row a key is what the single ordering task sees)."""
+    per = trace.groupBy(key).agg(F.count(F.lit(1)).alias("accesses"))
+    return per.withColumn("key_id", F.row_number().over(Window.orderBy(key)) - 1).where(F.col("accesses") > more_than)
+
+
+def count_distribution(trace: DataFrame, key: str) -> DataFrame:
+    return trace.groupBy(key).agg(F.count(F.lit(1)).alias("accesses")).groupBy("accesses").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def key_size_distribution(trace: DataFrame, key: str) -> DataFrame:
+    return trace.select(F.col(key).cast("string").alias("k")).distinct().groupBy(F.length("k").alias("size")).agg(F.count(F.lit(1)).alias("keys"))
+
+
+def value_size_distribution(trace: DataFrame, size: Column, interval: int = 8) -> DataFrame:
+    return trace.groupBy(F.floor(size / interval).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rate(trace: DataFrame, ts: str, step: str = "hour") -> DataFrame:
+    """Accesses of every step from the first to the last one, zeros included."""
+    per = trace.groupBy(F.date_trunc(step, ts).cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ends = per.agg(F.min("at").alias("a"), F.max("at").alias("b")).where(F.col("a").isNotNull())
+    every = ends.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL 1 {step}"))).alias("at"))
+    return every.join(per, "at", "left").select("at", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def top_rates(trace: DataFrame, ts: str, k: int, step: str = "hour") -> DataFrame:
+    return rate(trace, ts, step).orderBy(F.desc("n"), "at").limit(k)
+
+
+def top_keys(trace: DataFrame, key: str, k: int) -> DataFrame:
+    return trace.groupBy(key).agg(F.count(F.lit(1)).alias("accesses")).orderBy(F.desc("accesses"), key).limit(k)
+
+
+def prefix_cut(trace: DataFrame, key: str, n: int, success: Column) -> DataFrame:
+    p = F.substring(F.col(key).cast("string"), 1, n).alias("prefix")
+    out = trace.groupBy(p).agg(F.count(F.lit(1)).alias("accesses"), F.countDistinct(key).alias("keys"), F.avg(success.cast("double")).alias("success"))
+    return out.withColumn("mean", F.col("accesses") / F.col("keys"))
+
+
+def pair_correlation(trace: DataFrame, key: str, order: str, op: str, first: str, second: str) -> DataFrame:
+    """How often ``second`` follows ``first`` on the same key, and the mean gap in ``order`` to the last ``first``."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = trace.where(F.col(op).isin(first, second)).withColumn("_a", F.last(F.when(F.col(op) == first, F.col(order)), True).over(w))
+    return seen.where((F.col(op) == second) & F.col("_a").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(order) - F.col("_a")).alias("mean_gap"))
+
+
+def coverage(keyspace: DataFrame, trace: DataFrame, key: str) -> DataFrame:
+    """Keys of the key space that were never accessed."""
+    return keyspace.join(trace.select(key), key, "left_anti")
+
+
+def unique_over_time(trace: DataFrame, key: str, ts: str, step: str = "hour") -> DataFrame:
+    """Running number of distinct keys per step, carried through empty steps, and its share of the final number."""
+    firsts = trace.groupBy(key).agg(F.min(ts).alias(ts))
+    grown = rate(firsts, ts, step)
+    running = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return grown.select("at", running.alias("keys")).withColumn("share", F.col("keys") / F.max("keys").over(Window.partitionBy()))
+
+
+def histogram(trace: DataFrame, value: str, *by: str) -> DataFrame:
+    p = lambda q: F.percentile(value, F.lit(q))
+    return trace.groupBy(*by).agg(
+        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99")
+    )
+
+
+def reuse_interval(trace: DataFrame, block: str, ts: str, bucket: int) -> DataFrame:
+    """Accesses by whole ``bucket`` seconds since the block's previous access."""
+    gap = F.timestamp_diff("SECOND", F.lag(ts).over(Window.partitionBy(block).orderBy(ts)), F.col(ts))
+    return trace.withColumn("_gap", gap).where(F.col("_gap").isNotNull()).groupBy(F.floor(F.col("_gap") / bucket).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def lifetime(trace: DataFrame, block: str, ts: str) -> DataFrame:
+    """Seconds from first to last access; null for a block accessed once."""
+    per = trace.groupBy(block).agg(F.timestamp_diff("SECOND", F.min(ts), F.max(ts)).alias("s"), F.count(F.lit(1)).alias("n"))
+    return per.select(block, F.when(F.col("n") > 1, F.col("s")).alias("lifetime"))
+
+
+def skew(trace: DataFrame, label: str, percents: tuple[int, ...]) -> DataFrame:
+    """Share of all accesses of each slice of labels, from the hottest: slice p ends at rank floor(p * labels / 100)."""
+    per = trace.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    ranked = per.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), label))).crossJoin(F.broadcast(per.agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("total"))))
+    which = F.lit(None).cast("int")
+    for p in sorted(percents, reverse=True):
+        which = F.when(F.col("r") <= F.floor(F.col("labels") * p / 100), F.lit(p)).otherwise(which)
+    return ranked.withColumn("percent", which).where(F.col("percent").isNotNull()).groupBy("percent").agg((F.sum("n") / F.max("total")).alias("share"))
+
+
+def timeline(trace: DataFrame, ts: str, label: str, step: str = "day") -> DataFrame:
+    return trace.groupBy(F.date_trunc(step, ts).cast("timestamp_ntz").alias("at"), label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def percent_by(trace: DataFrame, label: str) -> DataFrame:
+    per = trace.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
