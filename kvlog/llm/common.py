@@ -80,9 +80,16 @@ def smallest_of_group(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return salted.join(back, [key, "_salt"]).drop("_salt")
 
 
+#: Whole texts go to Python workers in Arrow batches of at most so many rows.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the Python workers of every executor, once per context."""
+    """Gives the package to the Python workers of every executor, once per context, and keeps their batches small."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     if getattr(sc, "_kvlog_shipped", False):
         return
     package = pathlib.Path(__file__).resolve().parent.parent

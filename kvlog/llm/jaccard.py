@@ -4,8 +4,8 @@
 2. Every text gives its ``n - ceil(0.8 n) + 1`` first shingles in a global order as keys: two sets that are similar
    enough share one (prefix filter, any order is exact).  The order puts shingles that many documents share last, by
    heavy-hitter counts that every task gathers over all its documents; so a common passage makes no large groups.
-3. Within a key documents are ordered by set size.  Each (key, size band) links to its first document and each band to
-   the one before; these few pairs are verified and give a first set of components.
+3. Within a key documents are ordered by set size.  Each (key, size band) links to its first two documents, each band to
+   the one before, and in further rounds components that still share a key; these few pairs are verified.
 4. Keys whose documents lie in several components become tiles: size-ordered blocks of hashed bitmap signatures.  For sets A,
    B the bits of A's signature that B's lacks prove as many elements outside the intersection, so bit counts bound
    the overlap from above.  Pairs in different components that pass are verified by intersecting the sorted arrays.
@@ -35,6 +35,8 @@ COMMON_DF, MAX_COMMON = 8, 1 << 18
 #: Reported from a block of BLOCK_SHINGLES when so many of its texts have the shingle.
 LOCAL_DF = 2
 BLOCK_SHINGLES = 1 << 21
+#: Rounds of links between components before the tiles; more only save work.
+ROUNDS = 2
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -161,8 +163,8 @@ def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def _bits(n: int) -> int:
-    """Signature bits of a size band: four to eight a shingle, a power of two."""
-    return 64 << max(0, (max(n, 1) - 1).bit_length() - 4)
+    """Signature bits of a size band: one to two a shingle, a power of two, at least 64."""
+    return 64 << max(0, (max(n, 1) - 1).bit_length() - 6)
 
 
 def signature(one: np.ndarray) -> np.ndarray:
@@ -261,6 +263,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
+        sent: set[tuple[int, int]] = set()  # a pair shares many keys; once a task is enough (a bounded memory of it)
         tile: list[tuple[int, int, int, np.ndarray]] = []
         blocks: dict[int, tuple] = {}
 
@@ -293,8 +296,14 @@ def _tiles(rows: DataFrame) -> DataFrame:
                             if ok.any():
                                 at = np.flatnonzero(ok)
                                 hit = at[may_link(size, s, ns[at], sigs[at])]
-                                out_a.extend(np.minimum(ids[hit], i).tolist())
-                                out_b.extend(np.maximum(ids[hit], i).tolist())
+                                for j in ids[hit].tolist():
+                                    pair = (min(i, j), max(i, j))
+                                    if pair not in sent:
+                                        sent.add(pair)
+                                        out_a.append(pair[0])
+                                        out_b.append(pair[1])
+                if len(sent) > 500_000:
+                    sent.clear()
                 waiting.clear()
 
             for k, size, i, c, sig in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -321,6 +330,32 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(x, y) as distinct (a, b) with a < b."""
+    return pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    return cut(_verified(pairs, stored(_with_arrays(_only(docs, _ends(pairs)), True), "arrays")))
+
+
+def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, n, id, component) of the keys whose documents lie in several components."""
+    named = shared.select("key", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return named.join(several, "key").select("key", "n", "id", "component")
+
+
+def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, component) after more links: only the components that these join are worked on."""
+    as_a = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    as_b = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    over = edges.join(as_a, "a", "left").join(as_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(over).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    every = parts.unionByName(_ends(edges).distinct().join(parts, "id", "left_anti").select("id", F.col("id").alias("component")))
+    return stored(every.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "parts")
+
+
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, keep_id (least id with the same words)."""
     ship(docs.sparkSession)
@@ -342,27 +377,27 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     named_docs = base.where(F.col("id").isNotNull())
     sigs = stored(_with_arrays(_only(named_docs, shared.select("id")), False), "signatures")
 
-    star = shared.withColumn("c", F.first("id").over(Window.partitionBy("key", "band").orderBy("n", "id")))
-    pairs = star.select(F.col("c").alias("x"), F.col("id").alias("y")).unionByName(
+    # first links: every (key, band) to its first two documents, every band to the one before
+    in_band = Window.partitionBy("key", "band").orderBy("n", "id")
+    star = shared.withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
+    pairs = star.select(F.col("c").alias("x"), F.col("id").alias("y")).unionByName(star.where(F.col("c2").isNotNull()).select(F.col("c2").alias("x"), F.col("id").alias("y"))).unionByName(
         star.where((F.col("c") == F.col("id")) & (5 * F.col("pn") >= 4 * F.col("n"))).select(F.col("pid").alias("x"), F.col("id").alias("y"))
     )
-    pairs = cut(pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    likely = cut(_possible(pairs, sigs))
-    first = cut(_verified(likely, stored(_with_arrays(_only(named_docs, _ends(likely)), True), "arrays")))
-    parts = components(first)
-
-    named = shared.select("key", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    open_rows = named.join(several, "key").join(sigs.select("id", "sig"), "id")
-    more = cut(_tiles(open_rows).distinct().join(likely, ["a", "b"], "left_anti"))
-    second = cut(_verified(more, stored(_with_arrays(_only(named_docs, _ends(more)), True), "arrays")))
-    # contracted by the first components, so that only new links are worked on
-    as_a = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    as_b = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    over = second.join(as_a, "a", "left").join(as_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(over)
-    parts = parts.unionByName(_ends(second).distinct().join(parts, "id", "left_anti").select("id", F.col("id").alias("component")))
-    final = parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    tested = cut(_possible(_ordered(pairs), sigs))
+    parts = components(_checked(tested, named_docs))
+    # more links between what is still apart, so that large groups become one component before tiles compare all
+    for k in range(ROUNDS):
+        still = _open(shared, parts)
+        lead = still.groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "n", "id")).alias("m")).select("key", "m.n", "m.id")
+        w = Window.partitionBy("key").orderBy("n", "id")
+        apart = lead.withColumns({"pid": F.lag("id").over(w), "pn": F.lag("n").over(w)}).where(5 * F.col("pn") >= 4 * F.col("n"))
+        more = cut(_possible(_ordered(apart.select(F.col("pid").alias("x"), F.col("id").alias("y"))).join(tested, ["a", "b"], "left_anti"), sigs))
+        if more.isEmpty():
+            break
+        parts = _joined(parts, _checked(more, named_docs))
+        tested = cut(tested.unionByName(more))
+    last = cut(_tiles(_open(shared, parts).join(sigs.select("id", "sig"), "id")).distinct().join(tested, ["a", "b"], "left_anti"))
+    final = _joined(parts, _checked(last, named_docs))
 
     sizes = rows.join(verdicts.where("kept").select("id", F.col("text_sha256").alias("sha")), ["id", "sha"]).groupBy("id").agg(F.max("n").alias("n_shingles"))
     known = cut(sizes.join(final.groupBy("id").agg(F.min("component").alias("component")), "id", "left").select(F.col("id").alias("keep_id"), "n_shingles", F.coalesce("component", "id").alias("component_id")))
