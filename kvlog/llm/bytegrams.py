@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,24 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+# Arrow's own pools hold on to freed memory; workers that idle between stages should not
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def lean(run: Callable) -> Callable:
+    """run, giving freed memory back to the system when a task ends: workers outlive their tasks."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return go
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few, so that what becomes Python objects stays small."""
     for batch in batches:

@@ -4,8 +4,8 @@
 2. Every text gives its ``n - ceil(0.8 n) + 1`` first shingles in a global order as keys: two sets that are similar
    enough share one (prefix filter, any order is exact).  The order puts shingles that many documents share last, by
    heavy-hitter counts that every task gathers over all its documents; so a common passage makes no large groups.
-3. Within a key documents are ordered by set size.  Each (key, size band) links to its first two documents, each band to
-   the one before, and in further rounds components that still share a key; these few pairs are verified.
+3. Within a key documents are ordered by set size.  Each (key, size band) links to the two documents with the most shared keys, each
+   band to the one before, and in further rounds components that still share a key; these few pairs are verified.
 4. Keys whose documents lie in several components become tiles: size-ordered blocks of hashed bitmap signatures.  For sets A,
    B the bits of A's signature that B's lacks prove as many elements outside the intersection, so bit counts bound
    the overlap from above.  Pairs in different components that pass are verified by intersecting the sorted arrays.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.bytegrams import SPACE, Texts, groups, mix, shingle_sets, small
+from kvlog.llm.bytegrams import SPACE, Texts, groups, lean, mix, shingle_sets, small
 from kvlog.llm.common import cut, ship, stored, table
 from kvlog.llm.components import components
 
@@ -104,7 +104,7 @@ def _surveyed(docs: DataFrame) -> DataFrame:
         if held:
             yield emit([], [], [], *often())
 
-    return docs.mapInArrow(run, "id long, n long, sha binary, hash long, df long")
+    return docs.mapInArrow(lean(run), "id long, n long, sha binary, hash long, df long")
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _with_digest(docs: DataFrame) -> DataFrame:
                 shas.extend(_digest(words[a:b]) for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.binary())], names=["id", "text", "_sha"])
 
-    return docs.mapInArrow(run, "id long, text string, _sha binary")
+    return docs.mapInArrow(lean(run), "id long, text string, _sha binary")
 
 
 def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -159,12 +159,12 @@ def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             if keys:
                 yield out()
 
-    return docs.mapInArrow(run, "key long, id long, n long")
+    return docs.mapInArrow(lean(run), "key long, id long, n long")
 
 
 def _bits(n: int) -> int:
-    """Signature bits of a size band: one to two a shingle, a power of two, at least 64."""
-    return 64 << max(0, (max(n, 1) - 1).bit_length() - 6)
+    """Signature bits of a size band: two to four a shingle, a power of two, at least 64."""
+    return 64 << max(0, (max(n, 1) - 1).bit_length() - 5)
 
 
 def signature(one: np.ndarray) -> np.ndarray:
@@ -205,7 +205,7 @@ def _with_arrays(docs: DataFrame, arrays: bool) -> DataFrame:
                     columns.append(pa.array([x.tobytes() for x in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig", "arr"][: len(columns)])
 
-    return docs.mapInArrow(run, "id long, n long, sig binary" + ", arr binary" * arrays)
+    return docs.mapInArrow(lean(run), "id long, n long, sig binary" + ", arr binary" * arrays)
 
 
 def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             ok = [bool(may_link(n, np.frombuffer(x, np.uint64), np.array([m]), np.frombuffer(y, np.uint64)[None])[0]) for n, x, m, y in zip(na, sa, nb, sb, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
                                         sent.add(pair)
                                         out_a.append(pair[0])
                                         out_b.append(pair[1])
-                if len(sent) > 500_000:
+                if len(sent) > 100_000:
                     sent.clear()
                 waiting.clear()
 
@@ -316,7 +316,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
             settle()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -340,10 +340,10 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, n, id, component) of the keys whose documents lie in several components."""
-    named = shared.select("key", "id", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """(key, n, id, shares, component) of the keys whose documents lie in several components."""
+    named = shared.select("key", "id", "n", "shares").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    return named.join(several, "key").select("key", "n", "id", "component")
+    return named.join(several, "key").select("key", "n", "id", "shares", "component")
 
 
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -377,21 +377,27 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     named_docs = base.where(F.col("id").isNotNull())
     sigs = stored(_with_arrays(_only(named_docs, shared.select("id")), False), "signatures")
 
-    # first links: every (key, band) to its first two documents, every band to the one before
-    in_band = Window.partitionBy("key", "band").orderBy("n", "id")
+    # first links: every (key, band) to its two documents with the most shared keys (the text that near copies were
+    # made from has more in common with them than they have with each other), every band to the one before
+    wide = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares"))
+    shared = stored(shared.join(wide, "id"), "shared")
+    in_band = Window.partitionBy("key", "band").orderBy(F.desc("shares"), "n", "id")
     star = shared.withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
     pairs = star.select(F.col("c").alias("x"), F.col("id").alias("y")).unionByName(star.where(F.col("c2").isNotNull()).select(F.col("c2").alias("x"), F.col("id").alias("y"))).unionByName(
-        star.where((F.col("c") == F.col("id")) & (5 * F.col("pn") >= 4 * F.col("n"))).select(F.col("pid").alias("x"), F.col("id").alias("y"))
+        star.where((F.floor(F.log("pn") / F.log(F.lit(1.25))) < F.col("band")) & (5 * F.col("pn") >= 4 * F.col("n"))).select(F.col("pid").alias("x"), F.col("id").alias("y"))
     )
     tested = cut(_possible(_ordered(pairs), sigs))
     parts = components(_checked(tested, named_docs))
     # more links between what is still apart, so that large groups become one component before tiles compare all
     for k in range(ROUNDS):
         still = _open(shared, parts)
-        lead = still.groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "n", "id")).alias("m")).select("key", "m.n", "m.id")
+        lead = still.groupBy("key", "component").agg(F.max(F.struct("shares", F.xxhash64("id", F.lit(k)).alias("r"), "n", "id")).alias("m")).select("key", "m.shares", "m.n", "m.id")
         w = Window.partitionBy("key").orderBy("n", "id")
-        apart = lead.withColumns({"pid": F.lag("id").over(w), "pn": F.lag("n").over(w)}).where(5 * F.col("pn") >= 4 * F.col("n"))
-        more = cut(_possible(_ordered(apart.select(F.col("pid").alias("x"), F.col("id").alias("y"))).join(tested, ["a", "b"], "left_anti"), sigs))
+        top = Window.partitionBy("key").orderBy(F.desc("shares"), "n", "id")
+        apart = lead.withColumns({"pid": F.lag("id").over(w), "pn": F.lag("n").over(w), "tid": F.first("id").over(top), "tn": F.first("n").over(top)})
+        fits = lambda a, b: (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+        both = apart.where(fits("pn", "n")).select(F.col("pid").alias("x"), F.col("id").alias("y")).unionByName(apart.where(fits("tn", "n")).select(F.col("tid").alias("x"), F.col("id").alias("y")))
+        more = cut(_possible(_ordered(both).join(tested, ["a", "b"], "left_anti"), sigs))
         if more.isEmpty():
             break
         parts = _joined(parts, _checked(more, named_docs))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlog.llm.bytegrams import Texts, groups
+from kvlog.llm.bytegrams import Texts, groups, lean
 from kvlog.llm.common import ship, table
 
 #: The base phrases and their labels.
@@ -106,7 +106,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, dict[i
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(counts))], pa.int64()), pa.array([n, *counts.tolist()], pa.int64())], names=["word", "df"])
 
     ship(docs.sparkSession)
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    found = docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
     by = {r["word"]: r["df"] for r in found}
     return by.pop(-1, 0), by
 
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string")
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvlog.llm.bytegrams import lean
 from kvlog.llm.common import ship, table
 
 LENGTH = 4096
@@ -219,7 +220,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: in
         if packer.rows:
             yield _to_batch(packer.take(), schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlog.llm.bytegrams import SPACE, Texts, groups
+from kvlog.llm.bytegrams import SPACE, Texts, groups, lean
 from kvlog.llm.sampling import held_out, labelled_sample
 from kvlog.llm.common import ship, table
 
@@ -103,7 +103,7 @@ def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> Dat
             got = pa.array(scorer(batch.column(place)), type=pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
