@@ -163,8 +163,9 @@ def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def _bits(n: int) -> int:
-    """Signature bits of a size band: two to four a shingle, a power of two, at least 64."""
-    return 64 << max(0, (max(n, 1) - 1).bit_length() - 5)
+    """Signature bits of a size band, a power of two: two to four a shingle, twice that for sets of up to 256."""
+    band = (max(n, 1) - 1).bit_length()
+    return 64 << max(0, band - (4 if band <= 8 else 5))
 
 
 def signature(one: np.ndarray) -> np.ndarray:
