@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in groups of about so many bytes, which bounds the arrays' memory.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,6 +66,8 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            _POWERS[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+            gc.collect()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
                 trim(0)

@@ -31,7 +31,7 @@ LENGTH = 4096
 END_ID = 2
 SENTENCE_CUT, FREE_CUT, FREE_STEP = 8, 16, 32
 BLOCK_TOKENS = 1 << 19
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
