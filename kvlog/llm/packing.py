@@ -31,7 +31,7 @@ LENGTH = 4096
 END_ID = 2
 SENTENCE_CUT, FREE_CUT, FREE_STEP = 8, 16, 32
 BLOCK_TOKENS = 1 << 19
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,7 +68,6 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.model = self.tok.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
         vocabulary = self.tok.get_vocab()
@@ -79,10 +78,10 @@ class Encoder(dict):
         word = piece.rstrip(MARKS)
         if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
             low = word.lower()
-            ids = self.words.get(low)
+            ids = self.get(low)
             if ids is None:
                 plain = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-                ids = self.words[low] = array("I", [t.id for t in self.model(plain)]).tobytes()
+                ids = self[low] = array("I", [t.id for t in self.model(plain)]).tobytes()
             if len(word) < len(piece):
                 ids += self[piece[len(word) :]]
         else:
@@ -93,7 +92,6 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_PIECES:
             self.clear()
-            self.words.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
