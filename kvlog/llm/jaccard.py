@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
 from kvlog.llm.bytegrams import SPACE, Texts, groups, lean, mix, shingle_sets, small
-from kvlog.llm.common import cut, ship, stored, table
+from kvlog.llm.common import cut, forget, ship, stored, table
 from kvlog.llm.components import components
 
 SIZE = 5
@@ -327,6 +327,23 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return exact.marked(docs.withColumn("sha", F.col("id").cast("string")), cut(masks), log_words).where("_maybe").drop("sha", "_maybe")
 
 
+def _distinct(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without the ids whose every row repeats a kept text; rows repeated under one id once.
+
+    Only rows flagged by a bitmap of bounded size are shuffled.
+    """
+    by_text = verdicts.where("_maybe").groupBy("id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = by_text.groupBy(F.col("id").alias("_id")).agg(F.max("kept").alias("_kept"), F.max(F.when(F.col("kept"), F.col("n"))).alias("_n"))
+    ids = cut(ids.where(~F.col("_kept") | (F.col("_n") > 1)))
+    masks, log_words = exact.masks_of(ids.select(F.col("_id").cast("string").alias("sha")), ids.count())
+    tested = exact.marked(docs.withColumn("sha", F.col("id").cast("string")), cut(masks), log_words)
+    judged = tested.where("_maybe").join(ids, F.col("id") == F.col("_id"), "left")
+    out = tested.where(~F.col("_maybe")).select("id", "text").unionByName(judged.where(F.col("_id").isNull()).select("id", "text"))
+    if not ids.where("_kept").isEmpty():
+        out = out.unionByName(_with_digest(judged.where("_kept").select("id", "text")).dropDuplicates(["id", "_sha"]).drop("_sha"))
+    return out
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
@@ -337,7 +354,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    return cut(_verified(pairs, stored(_with_arrays(_only(docs, _ends(pairs)), True), "arrays")))
+    arrays = stored(_with_arrays(_only(docs, _ends(pairs)), True), "arrays")
+    found = cut(_verified(pairs, arrays))
+    forget(arrays)
+    return found
 
 
 def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
@@ -363,36 +383,38 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     survey = stored(_surveyed(base), "survey")
     rows = cut(survey.where(F.col("sha").isNotNull()).select("id", "sha", "n", F.monotonically_increasing_id().alias("_row")))
-    verdicts, (masks, log_words) = exact.verdicts(rows.select("id", "sha", "_row"))
-    distinct = exact.kept_rows(_with_digest(base), verdicts, masks, log_words, "id").drop("_sha").where(F.col("id").isNotNull())
+    verdicts, _ = exact.verdicts(rows.select("id", "sha", "_row"))
+    named_docs = base.where(F.col("id").isNotNull())
     hot = survey.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_DF).orderBy(F.desc("df"), "hash").limit(MAX_COMMON).toArrow()
     hashes = hot.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     ranks = np.arange(len(hashes), 0, -1, dtype=np.int32)  # the commonest last
     order = np.argsort(hashes)
-    keyed = _keyed(distinct, (hashes[order], ranks[order]))
+    forget(survey)
+    keyed = _keyed(_distinct(named_docs, verdicts), (hashes[order], ranks[order]))
 
     by_key = Window.partitionBy("key").orderBy("n", "id")
     fits = (5 * F.col("pn") >= 4 * F.col("n")) | (5 * F.col("n") >= 4 * F.col("nn"))
     seen = keyed.withColumns({"pid": F.lag("id").over(by_key), "pn": F.lag("n").over(by_key), "nn": F.lead("n").over(by_key)}).where(F.coalesce(fits, F.lit(False)))
     shared = stored(seen.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))).select("key", "id", "n", "band", "pid", "pn"), "shared")
-    named_docs = base.where(F.col("id").isNotNull())
     sigs = stored(_with_arrays(_only(named_docs, shared.select("id")), False), "signatures")
 
     # first links: every (key, band) to its two documents with the most shared keys (the text that near copies were
     # made from has more in common with them than they have with each other), every band to the one before
     wide = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares"))
-    shared = stored(shared.join(wide, "id"), "shared")
+    seen, shared = shared, stored(shared.join(wide, "id"), "shared")
+    forget(seen)
     in_band = Window.partitionBy("key", "band").orderBy(F.desc("shares"), "n", "id")
     star = shared.withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
-    pairs = star.select(F.col("c").alias("x"), F.col("id").alias("y")).unionByName(star.where(F.col("c2").isNotNull()).select(F.col("c2").alias("x"), F.col("id").alias("y"))).unionByName(
-        star.where((F.floor(F.log("pn") / F.log(F.lit(1.25))) < F.col("band")) & (5 * F.col("pn") >= 4 * F.col("n"))).select(F.col("pid").alias("x"), F.col("id").alias("y"))
-    )
+    below = F.when((F.floor(F.log("pn") / F.log(F.lit(1.25))) < F.col("band")) & (5 * F.col("pn") >= 4 * F.col("n")), F.col("pid"))
+    pairs = star.select(F.explode(F.array("c", "c2", below)).alias("x"), F.col("id").alias("y"))
     tested = cut(_possible(_ordered(pairs), sigs))
     parts = components(_checked(tested, named_docs))
     # more links between what is still apart, so that large groups become one component before tiles compare all
     for k in range(ROUNDS):
-        still = _open(shared, parts)
-        lead = still.groupBy("key", "component").agg(F.max(F.struct("shares", F.xxhash64("id", F.lit(k)).alias("r"), "n", "id")).alias("m")).select("key", "m.shares", "m.n", "m.id")
+        # keys that lie in one component stay so: later rounds read what is left alone
+        closed, shared = shared, stored(_open(shared, parts), "open")
+        forget(closed)
+        lead = shared.groupBy("key", "component").agg(F.max(F.struct("shares", F.xxhash64("id", F.lit(k)).alias("r"), "n", "id")).alias("m")).select("key", "m.shares", "m.n", "m.id")
         w = Window.partitionBy("key").orderBy("n", "id")
         top = Window.partitionBy("key").orderBy(F.desc("shares"), "n", "id")
         apart = lead.withColumns({"pid": F.lag("id").over(w), "pn": F.lag("n").over(w), "tid": F.first("id").over(top), "tn": F.first("n").over(top)})
@@ -404,6 +426,8 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         parts = _joined(parts, _checked(more, named_docs))
         tested = cut(tested.unionByName(more))
     last = cut(_tiles(_open(shared, parts).join(sigs.select("id", "sig"), "id")).distinct().join(tested, ["a", "b"], "left_anti"))
+    forget(shared)
+    forget(sigs)
     final = _joined(parts, _checked(last, named_docs))
 
     sizes = rows.join(verdicts.where("kept").select("id", F.col("text_sha256").alias("sha")), ["id", "sha"]).groupBy("id").agg(F.max("n").alias("n_shingles"))
