@@ -59,6 +59,14 @@ def _powers(n: int) -> list[np.ndarray]:
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """run, giving freed memory back to the system when a task ends: workers outlive their tasks."""
 
@@ -67,10 +75,7 @@ def lean(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             _POWERS[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return go
 

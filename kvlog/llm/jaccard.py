@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.bytegrams import SPACE, Texts, groups, lean, mix, shingle_sets, small
+from kvlog.llm.bytegrams import SPACE, Texts, give_back, groups, lean, mix, shingle_sets, small
 from kvlog.llm.common import cut, forget, ship, stored, table
 from kvlog.llm.components import components
 
@@ -390,6 +390,8 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     ranks = np.arange(len(hashes), 0, -1, dtype=np.int32)  # the commonest last
     order = np.argsort(hashes)
     forget(survey)
+    del hot
+    give_back()
     keyed = _keyed(_distinct(named_docs, verdicts), (hashes[order], ranks[order]))
 
     by_key = Window.partitionBy("key").orderBy("n", "id")

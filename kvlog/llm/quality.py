@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlog.llm.bytegrams import SPACE, Texts, groups, lean
+from kvlog.llm.bytegrams import SPACE, Texts, give_back, groups, lean
 from kvlog.llm.sampling import held_out, labelled_sample
 from kvlog.llm.common import ship, table
 
@@ -107,7 +107,9 @@ def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> Dat
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
-    return train(*labelled_sample(docs, labels, "quality", SAMPLE))
+    model = train(*labelled_sample(docs, labels, "quality", SAMPLE))
+    give_back()
+    return model
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
