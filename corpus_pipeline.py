@@ -67,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A trained classifier decides the first stage, so SQL can't express the rows; see tests/llm/test_pipeline.py.
+#: A trained classifier decides the first stage, so SQL can't express the rows; see tests/llm/test_operators.py.
 ORACLE_SQL = None

@@ -28,5 +28,5 @@ QUERIES: dict = {
 
 #: op3 and op6 have no SQL (trained models): held-out accuracy is tested.
 #: op4 has none either (labels of its own): its base columns are tested against brute force.
-#: op8 has no SQL (a tokenizer and a dynamic program): see tests/llm/test_packing.py.
+#: op8 has no SQL (a tokenizer and a dynamic program): see tests/llm/test_operators.py.
 ORACLE_SQL: dict = {"op1_sharding": op1_sql(), "op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op7_jaccard": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
