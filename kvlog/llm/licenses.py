@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-``TEMPLATES`` are short licence passages; their words are posted as word -> (template, place).  A document's rarest licence
-words (highest IDF, counted over all documents) are looked up, and postings that agree on the template's start relative
-to the document are intersected.  Where enough of them meet, the template's words are compared place by place, and
-its key phrases must all stand at their exact places; then its label is added and its share of equal words counts as
-score.  Base phrases are found wherever their words stand consecutively; a document with a base phrase scores 0.5 at least.
+``TEMPLATES`` are short licence passages; their words are posted as word -> (template, place).  Of each template the rarest
+word of its key phrases (highest IDF, counted over all documents) is looked up, and every place where it stands gives a
+start of the template relative to the document.  There the key phrases must all stand at their exact places, and the
+template's words are compared place by place; then its label is added and its share of equal words counts as score.  As a
+match holds all words of its key phrases, no match is missed, however many licences a text has; the IDF only changes speed.
+Base phrases are found wherever their words stand consecutively; a document with a base phrase scores 0.5 at least.
 
 Defined cases: null and empty texts have no words, labels '' and score 0; repeated rows are scanned one by one; words are
 compared by 64-bit hashes; an empty table stays empty.
@@ -39,7 +40,7 @@ TEMPLATES = {
     "spdx": ("spdx license identifier", ["spdx license identifier"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 }
-RARE_WORDS, MIN_SHARE = 12, 0.6
+MIN_SHARE = 0.6
 
 GAP = np.zeros(256, dtype=bool)
 GAP[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -67,13 +68,6 @@ class Index:
                 key.update(range(at, at + len(p)))
             self.keys.append(np.array(sorted(key)))
         self.labels = list(TEMPLATES)
-        self.key_words = np.zeros((len(self.templates), len(self.words)), dtype=np.float32)
-        for k, (t, at) in enumerate(zip(self.templates, self.keys, strict=True)):
-            self.key_words[k, t[at]] = 1
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for k, t in enumerate(self.templates):
-            for place, w in enumerate(t.tolist()):
-                self.postings.setdefault(w, []).append((k, place))
         self.base = [([number[w] for w in p.split()], label) for p, label in BASE.items()]
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -117,28 +111,29 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     n_docs, df = document_frequency(docs, text)
     idf = np.array([np.log((1 + n_docs) / (1 + df.get(i, 0))) for i in range(len(index.words))])
 
-    def templates(numbers: np.ndarray) -> list[tuple[str, int, float]]:
-        """Verified templates of one text."""
-        at = np.flatnonzero(numbers >= 0)
-        present = np.unique(numbers[at])
-        rare = present[np.argsort(-idf[present], kind="stable")[:RARE_WORDS]]
-        votes: dict[tuple[int, int], int] = {}
-        for p in at[np.isin(numbers[at], rare)].tolist():
-            for k, place in index.postings.get(int(numbers[p]), ()):
-                votes[k, p - place] = votes.get((k, p - place), 0) + 1
-        out = []
-        for (k, start), n in votes.items():
-            words = index.templates[k]
-            if n < min(2, len(words)) or start + index.keys[k][0] < 0 or start + index.keys[k][-1] >= len(numbers):
-                continue
-            if (numbers[start + index.keys[k]] != words[index.keys[k]]).any():
-                continue
-            places = start + np.arange(len(words))
-            inside = (places >= 0) & (places < len(numbers))
-            share = float((numbers[places[inside]] == words[inside]).sum() / len(words))
-            if share >= MIN_SHARE:
-                out.append((index.labels[k], start, share))
-        return sorted(out)
+    #: of each template, the place of its rarest word among the key phrases
+    rarest = [int(at[np.argmax(idf[t[at]])]) for t, at in zip(index.templates, index.keys, strict=True)]
+
+    def templates(numbers: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[str, int, float]]]:
+        """Verified templates of each text that has some."""
+        out: dict[int, list[tuple[str, int, float]]] = {}
+        known = np.flatnonzero(numbers >= 0)
+        for label, words, key, place in zip(index.labels, index.templates, index.keys, rarest, strict=True):
+            at = known[numbers[known] == words[place]]
+            doc = np.searchsorted(first, at, side="right") - 1
+            start = at - place
+            ok = (start + key[0] >= first[doc]) & (start + key[-1] < first[doc + 1])
+            start, doc = start[ok], doc[ok]
+            for k in key:
+                ok = numbers[start + k] == words[k]
+                start, doc = start[ok], doc[ok]
+            for s, d in zip(start.tolist(), doc.tolist(), strict=True):
+                places = s + np.arange(len(words))
+                inside = (places >= first[d]) & (places < first[d + 1])
+                share = float((numbers[places[inside]] == words[inside]).sum() / len(words))
+                if share >= MIN_SHARE:
+                    out.setdefault(d, []).append((label, s - int(first[d]), share))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,15 +150,11 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
                     for p, d in zip(at.tolist(), doc.tolist(), strict=True):
                         if p + len(phrase) <= first[d + 1]:
                             hits.setdefault(d, []).append((p - int(first[d]), label))
-                at = np.flatnonzero(numbers >= 0)
-                present = np.zeros((len(first) - 1, len(index.words)), dtype=np.float32)
-                present[np.searchsorted(first, at, side="right") - 1, numbers[at]] = 1
-                # only texts that have all words of some template's key phrases can match
-                able = (present @ index.key_words.T == index.key_words.sum(1)).any(1)
+                found = templates(numbers, first)
                 for d in range(len(first) - 1):
                     a, b = int(first[d]), int(first[d + 1])
                     base = hits.get(d, [])
-                    more = templates(numbers[a:b]) if able[d] else []
+                    more = sorted(found.get(d, []))
                     names = sorted({x[1] for x in base})
                     rows.append(
                         (

@@ -253,6 +253,20 @@ def test_license_scan(docs, none, spark):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_scan_finds_every_notice(spark):
+    mit = "Released under the MIT License. All rights reserved. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    bsd = "Copyright A. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    apache = "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at x"
+    every = " / ".join(t for t, _ in licenses.TEMPLATES.values())
+    texts = [mit, bsd, apache, every, "word " * 30000 + apache, *["nothing here"] * 50]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [{x.split(":")[0] for x in out[i]["templates"].split(",")} for i in range(5)]
+    assert found[0] == {"mit-notice", "all-rights-reserved", "mit-grant"}
+    assert found[1] == {"all-rights-reserved", "bsd-terms"}
+    assert found[2] == found[4] == {"apache-2.0-notice", "apache-2.0-terms"}
+    assert found[3] == set(licenses.TEMPLATES)
+
+
 @pytest.mark.parametrize("module,column", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_held_out_rows(spark, module, column):
     d = "/root/testdata/sf0.01"
