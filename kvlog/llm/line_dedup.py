@@ -1,4 +1,7 @@
-"""Line dedup with a fixed-depth template tree; DataFrame functions only.
+"""Line dedup with a fixed-depth template tree.
+
+``drop_templates`` (op10_line_templates) builds the templates of the tree by place-wise agreement.  ``drop_lines``
+(op10_line_dedup, which has SQL) knows three fixed templates a line, DataFrame functions only, and misses other variations:
 
 A line's words (by ASCII white space) with digits are variable fields and become ``<*>``.  The path in the tree is the
 number of words, then the leading words.  Below it a line belongs to up to three templates: all its words; for
@@ -13,17 +16,23 @@ words stay; rows of equal id and text are treated alike; an empty table stays em
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.common import cut, let, stored, table
+from kvlog.llm.common import cut, let, ship, stored, table
 
 LEADING = 2
 MIN_WORDS, WILD_WORDS = 3, 8
 MIN_DOCS = 10
 #: Recurring templates are broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1 << 20
+#: Lines are broadcast with their template up to this many.
+BROADCAST_LINES = 1 << 16
+#: A line joins a template of the tree when it agrees with it in this share of places.
+SIMILAR = 0.75
 _BLANK = r"\x20\x09-\x0D"
 
 
@@ -36,26 +45,26 @@ def _templates(words: Column) -> Column:
     return F.when(n >= WILD_WORDS, F.array(whole, head, tail)).when(n >= MIN_WORDS, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _masked(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?<![^{_BLANK}])[^{_BLANK}]*?[0-9][^{_BLANK}]*", "<*>")
+
+
 def _lines(text: Column) -> Column:
     """array of (line number, template)"""
-    masked = F.regexp_replace(text, rf"(?<![^{_BLANK}])[^{_BLANK}]*?[0-9][^{_BLANK}]*", "<*>")
     return F.flatten(
         F.transform(
-            F.split(masked, "\n"),
+            F.split(_masked(text), "\n"),
             lambda line, i: let(F.array_remove(F.split(line, rf"[{_BLANK}]+"), ""), lambda w: F.transform(_templates(w), lambda k: F.struct(i.alias("line"), k.alias("key")))),
         )
     )
 
 
-def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs without the recurring lines, and (n_lines, n_dropped) in columns _n_lines, _n_dropped."""
-    names = docs.columns
-    keyed = docs.withColumn("_kv_sha", F.sha2(F.concat_ws("\n", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text)), 256))
-    lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), _lines(F.col(text)).alias("found")).where(F.size("found") > 0), "lines")
-    often = cut(lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["key"]))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"))
-    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
-    hit = lines.select("sha", F.inline("found")).join(often, "key", "left_semi")
-    lost = cut(hit.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost"))
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.withColumn("_kv_sha", F.sha2(F.concat_ws("\n", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text)), 256))
+
+
+def _without(keyed: DataFrame, names: list[str], text: str, lost: DataFrame) -> DataFrame:
+    """The rows without their lost lines (sha, _kv_lost)."""
     masks, log_words = exact.masks_of(lost.select("sha"), lost.count())
     tested = exact.marked(keyed, cut(masks), log_words, "_kv_sha")
     split = F.split(F.col(text), "\n")
@@ -73,11 +82,81 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     return passed.unionByName(changed)
 
 
+def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs without the recurring lines, and (n_lines, n_dropped) in columns _n_lines, _n_dropped."""
+    keyed = _keyed(docs, text, doc_id)
+    lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), _lines(F.col(text)).alias("found")).where(F.size("found") > 0), "lines")
+    often = cut(lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["key"]))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
+    hit = lines.select("sha", F.inline("found")).join(often, "key", "left_semi")
+    return _without(keyed, docs.columns, text, cut(hit.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost")))
+
+
+def _grow(part: pd.DataFrame) -> pd.DataFrame:
+    """Templates of one cell: each line, in the order of its words, joins the template it agrees with in most places, and places
+    that differ become variable; a line that agrees with none in SIMILAR of all places starts one."""
+    part = part.sort_values("words").reset_index(drop=True)
+    number: dict[str, int] = {}
+    lines = np.array([[number.setdefault(w, len(number)) for w in x.split(" ")] for x in part["words"]], dtype=np.int32)
+    made, n, own = np.empty((16, lines.shape[1]), dtype=np.int32), 0, []
+    for line in lines:
+        same = (made[:n] == line).sum(1)
+        best = int(same.argmax()) if n else -1
+        if n and same[best] >= SIMILAR * len(line):
+            made[best][made[best] != line] = -1
+        else:
+            made = np.concatenate([made, np.empty_like(made)]) if n == len(made) else made
+            made[n], best, n = line, n, n + 1
+        own.append(best)
+    return pd.DataFrame({"cell": part["cell"], "words": part["words"], "number": pd.Series(own, dtype="int64")})
+
+
+def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Like drop_lines, by the whole template tree: any places of a line may vary, up to a quarter of them.
+
+    A cell of the tree is a number of words and the leading words; only lines of cells that occur in enough documents are
+    compared, place by place, each distinct line once a cell.  What drop_lines drops is dropped here as well.
+    """
+    keyed = _keyed(docs, text, doc_id)
+    found = F.filter(
+        F.transform(
+            F.split(_masked(F.col(text)), "\n"),
+            lambda line, i: let(
+                F.array_remove(F.split(line, rf"[{_BLANK}]+"), ""),
+                lambda w: F.struct(i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, LEADING)).alias("cell"), F.array_join(w, " ").alias("words")),
+            ),
+        ),
+        lambda x: x["n"] >= MIN_WORDS,
+    )
+    lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), found.alias("found")).where(F.size("found") > 0), "lines")
+    cells = lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["cell"]))).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("docs"))
+    cells = cut(cells.where(F.col("docs") >= min_docs).select("cell"))
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_KEYS else cells
+    hit = stored(lines.select("sha", F.inline("found")).join(cells, "cell", "left_semi"), "hit")
+    ship(docs.sparkSession)
+    # the same words in one cell only, but for collisions: n keeps lines of one cell of one length
+    distinct = hit.select("n", "cell", "words").distinct()
+    grown = cut(distinct.groupBy("n", "cell").applyInPandas(lambda p: _grow(p), "cell long, words string, number long").select("words", F.xxhash64(F.lit("g"), "cell", F.size(F.split("words", " ")), "number").alias("grown")))
+    grown = F.broadcast(grown) if grown.count() <= BROADCAST_LINES else grown
+    keys = F.array_append(_templates(F.split("words", " ")), F.col("grown"))
+    hit = stored(hit.join(grown, "words").select("sha", "line", "n", keys.alias("keys")), "keys")
+    per = hit.select("sha", "n", F.explode("keys").alias("key")).groupBy("key", "sha").agg(F.max("n").alias("n"))
+    often = cut(per.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
+    gone = hit.select("sha", "line", F.explode("keys").alias("key")).join(often, "key", "left_semi")
+    return _without(keyed, docs.columns, text, cut(gone.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost")))
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_line_templates(spark, sf_dir: str) -> DataFrame:
+    out = drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP10_SQL = rf"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line

@@ -220,6 +220,27 @@ def test_line_dedup(spark, none):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_line_templates(spark, none):
+    def varied(i, text):
+        return " ".join(x if x != "?" else "v" + chr(97 + i) for x in text.split())
+
+    forms = ["one word in the ? middle of this line", "here early ? and again late in this same ? line of fourteen words", "lines of four ?", "and now ? but ? or ? with all of what else stands here alike"]
+    data = [(i, "\n".join([f"own {chr(97 + i) * 5} text {chr(110 + i) * 4}", *(varied(i, f) for f in forms)])) for i in range(12)] + [(50, None), (51, ""), (52, "own aaaaa text nnnn\nlines of four")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.drop_templates(docs).collect()}
+    for i in range(12):
+        assert out[i]["text"] == data[i][1].split("\n")[0] and out[i]["_n_dropped"] == 4
+    assert [out[i]["text"] for i in (50, 51, 52)] == [None, "", data[-1][1]]
+    assert line_dedup.drop_templates(none).count() == 0
+
+
+def test_line_templates_drop_what_line_dedup_drops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    less = {r["doc_id"]: r["_n_dropped"] for r in line_dedup.drop_lines(docs).collect()}
+    more = {r["doc_id"]: r["_n_dropped"] for r in line_dedup.drop_templates(docs).collect()}
+    assert less.keys() == more.keys() and all(more[k] >= n for k, n in less.items())
+
+
 def test_sharding(spark, docs):
     slots = 211
     owner = sharding.fill(["a", "b", "c"], slots)
