@@ -16,17 +16,23 @@ words stay; rows of equal id and text are treated alike; an empty table stays em
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.common import cut, let, ship, stored, table
+from kvlog.llm.common import cut, forget, let, ship, stored, table
 
 LEADING = 2
 MIN_WORDS, WILD_WORDS = 3, 8
 MIN_DOCS = 10
+#: Lines of so many words are dropped from so many unrelated documents on (drop_templates).
+LONG_WORDS, LONG_DOCS = 50, 3
+#: Documents are related when they share this part of the smaller one's word pairs, besides the line in question.
+RELATED = 0.5
 #: Recurring templates are broadcast up to this many (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1 << 20
 #: Lines are broadcast with their template up to this many.
@@ -111,11 +117,23 @@ def _grow(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": part["cell"], "words": part["words"], "number": pd.Series(own, dtype="int64")})
 
 
+def _unrelated(part: pd.DataFrame) -> pd.DataFrame:
+    """The number of groups of related documents among those of one template (fewer than MIN_DOCS)."""
+    groups: list[list[set]] = []
+    for found, lost in zip(part["found"], part["lines"], strict=True):
+        gone = set(lost)
+        rest = {p for x in found if x["line"] not in gone for p in pairwise(x["words"].split(" "))}
+        near = [g for g in groups if any(len(rest & o) >= RELATED * min(len(rest), len(o)) if rest and o else not rest and not o for o in g)]
+        groups = [g for g in groups if not any(g is x for x in near)] + [[rest, *(o for g in near for o in g)]]
+    return pd.DataFrame({"key": part["key"].iloc[:1], "groups": [len(groups)]})
+
+
 def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """Like drop_lines, by the whole template tree: any places of a line may vary, up to a quarter of them.
 
     A cell of the tree is a number of words and the leading words; only lines of cells that occur in enough documents are
-    compared, place by place, each distinct line once a cell.  What drop_lines drops is dropped here as well.
+    compared, place by place, each distinct line once a cell.  A line of LONG_WORDS words
+    goes from LONG_DOCS documents on, as long as these are unrelated: copies of one document keep theirs.  What drop_lines drops is dropped here as well.
     """
     keyed = _keyed(docs, text, doc_id)
     found = F.filter(
@@ -129,8 +147,10 @@ def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         lambda x: x["n"] >= MIN_WORDS,
     )
     lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), found.alias("found")).where(F.size("found") > 0), "lines")
-    cells = lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["cell"]))).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("docs"))
-    cells = cut(cells.where(F.col("docs") >= min_docs).select("cell"))
+    found_cells = lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["cell"], x["n"])))).alias("x"))
+    enough = (F.col("docs") >= min_docs) | ((F.col("n") >= LONG_WORDS) & (F.col("docs") >= LONG_DOCS))
+    cells = found_cells.groupBy("x.cell", "x.n").agg(F.count(F.lit(1)).alias("docs")).where(enough)
+    cells = cut(cells.select("cell").distinct())
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_KEYS else cells
     hit = stored(lines.select("sha", F.inline("found")).join(cells, "cell", "left_semi"), "hit")
     ship(docs.sparkSession)
@@ -139,12 +159,23 @@ def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grown = cut(distinct.groupBy("n", "cell").applyInPandas(lambda p: _grow(p), "cell long, words string, number long").select("words", F.xxhash64(F.lit("g"), "cell", F.size(F.split("words", " ")), "number").alias("grown")))
     grown = F.broadcast(grown) if grown.count() <= BROADCAST_LINES else grown
     keys = F.array_append(_templates(F.split("words", " ")), F.col("grown"))
-    hit = stored(hit.join(grown, "words").select("sha", "line", "n", keys.alias("keys")), "keys")
+    keyed_lines = stored(hit.join(grown, "words").select("sha", "line", "n", "grown", keys.alias("keys")), "keys")
+    forget(hit)
+    hit = keyed_lines
     per = hit.select("sha", "n", F.explode("keys").alias("key")).groupBy("key", "sha").agg(F.max("n").alias("n"))
-    often = cut(per.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key"))
+    counts = cut(per.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).where(enough))
+    few = counts.where(F.col("docs") < min_docs).select("key")
+    few = hit.select(F.col("grown").alias("key"), "sha", "line").join(few, "key", "left_semi").groupBy("key", "sha").agg(F.collect_set("line").alias("lines"))
+    few = cut(few)
+    few = F.broadcast(few) if few.count() <= BROADCAST_LINES else few
+    few = lines.join(few, "sha").groupBy("key").applyInPandas(lambda p: _unrelated(p), "key long, groups long").where(F.col("groups") >= LONG_DOCS)
+    often = cut(counts.where(F.col("docs") >= min_docs).select("key").union(few.select("key")))
+    forget(lines)
     often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
     gone = hit.select("sha", "line", F.explode("keys").alias("key")).join(often, "key", "left_semi")
-    return _without(keyed, docs.columns, text, cut(gone.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost")))
+    lost = cut(gone.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost"))
+    forget(hit)
+    return _without(keyed, docs.columns, text, lost)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

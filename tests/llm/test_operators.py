@@ -234,6 +234,15 @@ def test_line_templates(spark, none):
     assert line_dedup.drop_templates(none).count() == 0
 
 
+def test_long_lines_in_few_unrelated_documents(spark):
+    passage, copied = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    own = [" ".join(f"{chr(97 + i)}{chr(97 + j)}x" for j in range(20)) for i in range(6)]
+    data = [(i, f"{own[i]}\n{passage}\nshort line of few words") for i in range(4)] + [(10 + i, f"{own[4]} again {chr(97 + i)}\n{copied}") for i in range(5)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_templates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, text in data:
+        assert out[i] == (text if i >= 10 else f"{own[i]}\nshort line of few words")
+
+
 def test_line_templates_drop_what_line_dedup_drops(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     less = {r["doc_id"]: r["_n_dropped"] for r in line_dedup.drop_lines(docs).collect()}
