@@ -1,7 +1,8 @@
 """Cache simulation over block-access traces.
 
-A simulated cache is sharded by block hash, as real ones are: each (capacity, shard) replays its own accesses in order with its
-share of the capacity, so no task replays the whole trace.  With one shard the replay is exact for a single cache.
+With one shard, as the registered queries have it, the replay is exact for a single cache: one task replays the whole trace of a
+capacity in order.  With more, each (capacity, shard) replays the accesses of its blocks with its share of the capacity: a
+model of a cache sharded by block hash, whose misses differ.
 """
 
 from __future__ import annotations

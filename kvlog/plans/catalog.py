@@ -632,7 +632,7 @@ for _policy in cachesim.POLICIES:
 
     @query(f"{_policy}_misses")
     def _(spark, d, policy=_policy):
-        return cachesim.simulate(_blocks(spark, d), "user_id", "size", "event_id", [128, 512, 2048], policy)
+        return cachesim.simulate(_blocks(spark, d), "user_id", "size", "event_id", [128, 512, 2048], policy, shards=1)
 
 
 @query("reuse_distance")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kvlog.functions import geometry as g
 from kvlog.operators import cachesim, merge, ranges, resolve, secondary
 from kvlog.operators.schema import Log
+from kvlog.plans import catalog
 from kvlog.sources import layout
 from kvlog.streaming import feed
 
@@ -93,6 +94,15 @@ def test_simulators():
     assert cachesim.misses(blocks, ones, 9, "lfu") == 4
 
 
+def test_registered_simulators_replay_one_cache(spark):
+    d = "/root/testdata/sf0.001"
+    trace = spark.read.parquet(f"{d}/events.parquet").orderBy("event_id").select(F.col("user_id").cast("string"), F.length("props")).collect()
+    blocks, sizes = [r[0] for r in trace], [r[1] for r in trace]
+    for policy in cachesim.POLICIES:
+        out = {r["capacity"]: (r["accesses"], r["misses"]) for r in catalog.QUERIES[f"{policy}_misses"](spark, d).collect()}
+        assert out == {c: (len(trace), cachesim.misses(blocks, sizes, c, policy)) for c in (128, 512, 2048)}
+
+
 def test_pushdown_and_layout(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") % 100).cast("double").alias("v"))
     layout.write_sorted(df, f"{tmp_path}/v", "v", files=4)
