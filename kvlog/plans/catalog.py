@@ -104,6 +104,11 @@ def _(spark, d):
     return _t(spark, d, "customer").orderBy(F.desc("c_custkey")).limit(25)
 
 
+@query("kv_scan_reverse_all", "SELECT * FROM customer ORDER BY c_custkey DESC")
+def _(spark, d):
+    return _t(spark, d, "customer").orderBy(F.desc("c_custkey"))
+
+
 @query("kv_prefix_scan", "SELECT * FROM customer WHERE starts_with(c_name, 'Customer#00000')")
 def _(spark, d):
     return ranges.prefix_scan(_t(spark, d, "customer"), "c_name", "Customer#00000")
@@ -273,6 +278,11 @@ def _(spark, d):
     return _events(spark, d).select("event_id", ((F.col("value") + F.col("value") + 10) / 2).alias("center")).orderBy("center", "event_id").limit(50)
 
 
+@query("range_center_sort_all", "SELECT event_id, (value + value + 10) / 2 AS center FROM events ORDER BY center, event_id")
+def _(spark, d):
+    return _events(spark, d).select("event_id", ((F.col("value") + F.col("value") + 10) / 2).alias("center")).orderBy("center", "event_id")
+
+
 # --- folds
 
 _CENTS = Log(key=("user_id",), seq="event_id", value=("cents",))
@@ -311,6 +321,12 @@ def _(spark, d):
     return merge.fold(rows, _CENTS, "mul")
 
 
+@query("merge_mul_sign", "SELECT user_id, CAST(product(1 - 2 * (event_id % 2)) AS BIGINT) AS value FROM events GROUP BY 1")
+def _(spark, d):
+    rows = _events(spark, d).select("user_id", "event_id", (1 - 2 * (F.col("event_id") % 2)).alias("cents"))
+    return merge.fold(rows, _CENTS, "mul")
+
+
 @query("merge_last3", "SELECT user_id, array_to_string(list(event_type ORDER BY event_id DESC)[1:3], ',') AS value FROM events GROUP BY 1")
 def _(spark, d):
     out = merge.fold(_events(spark, d), Log(key=("user_id",), seq="event_id", value=("event_type",)), "last3")
@@ -450,6 +466,12 @@ def _(spark, d):
     return e.select("o_orderkey", wide.column(F.col("columns"), "").alias("value"))
 
 
+@query("wide_default_column_all", "SELECT o_orderkey, o_orderstatus AS value FROM orders")
+def _(spark, d):
+    e = _t(spark, d, "orders").select("o_orderkey", wide.entity(F.col("o_orderstatus")).alias("columns"))
+    return e.select("o_orderkey", wide.column(F.col("columns"), "").alias("value"))
+
+
 @query(
     "wide_expire",
     "SELECT user_id, sum(CAST(event_id + 100 < 700 AND event_type = 'view' AS INT)) AS tombstones, count(*) AS n FROM events GROUP BY 1",
@@ -493,6 +515,11 @@ def _(spark, d):
     return overlay.sequenced(_events(spark, d).where("event_id < 40"), "event_id", 1_000_000).select("user_id", "seq")
 
 
+@query("batch_write_all", "SELECT user_id, CAST(1000000 - 1 + row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq FROM events")
+def _(spark, d):
+    return overlay.sequenced(_events(spark, d), "event_id", 1_000_000).select("user_id", "seq")
+
+
 @query("batch_counts", f"SELECT op, count(*) AS n FROM {_OPS_SQL} GROUP BY 1")
 def _(spark, d):
     return overlay.batch_counts(_ops(spark, d), "op")

@@ -103,6 +103,18 @@ def test_registered_simulators_replay_one_cache(spark):
         assert out == {c: (len(trace), cachesim.misses(blocks, sizes, c, policy)) for c in (128, 512, 2048)}
 
 
+def test_whole_tables_against_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    for name in ("kv_scan_reverse_all", "range_center_sort_all", "merge_mul_sign", "wide_default_column_all", "batch_write_all"):
+        db = duckdb.connect()
+        for t in ("customer", "events", "orders"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+        want = db.execute(catalog.ORACLE_SQL[name]).fetchall()
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, d).collect())) == sorted(want), name
+
+
 def test_pushdown_and_layout(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") % 100).cast("double").alias("v"))
     layout.write_sorted(df, f"{tmp_path}/v", "v", files=4)
