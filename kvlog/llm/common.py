@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset (single-machine tests) a temporary folder stands in and is registered, so that
-    ``checkpoint()`` works too.
+    Where that is unset on a local master (tests) a temporary folder stands in and is registered, so that
+    ``checkpoint()`` works too; on any other master it must be set, as executors don't share the driver's disk.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not at and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="kvlog-shared-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -56,6 +58,11 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``, so that helper columns beside it can't clash with the input's names."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once; a plain reference inside a lambda would be evaluated per element."""
     return F.transform(F.array(value), body)[0]

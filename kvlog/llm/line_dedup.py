@@ -1,210 +1,216 @@
-"""Line dedup with a fixed-depth template tree.
-
-``drop_templates`` (op10_line_templates) builds the templates of the tree by place-wise agreement.  ``drop_lines``
-(op10_line_dedup, which has SQL) knows three fixed templates a line, DataFrame functions only, and misses other variations:
-
-A line's words (by ASCII white space) with digits are variable fields and become ``<*>``.  The path in the tree is the
-number of words, then the leading words.  Below it a line belongs to up to three templates: all its words; for
-lines of at least ``WILD_WORDS`` words also its first three quarters with the rest variable, and its leading words plus
-its last three quarters with what lies between variable (two lines of one such template agree on at least 0.75
-of their places, as the tree's similarity asks).  Templates that occur in at least ``MIN_DOCS`` documents are dropped.
-
-A document counts once a template, counts are combined before the shuffle, and only documents that lose lines are
-shuffled with their texts.  Defined cases: null texts stay null with no lines; blank lines and lines of fewer than MIN_WORDS
-words stay; rows of equal id and text are treated alike; an empty table stays empty; extra columns stay.
+"""Line dedup with a fixed-depth log-template tree; DataFrame functions only.
+
+A line's words (by ASCII white space) that hold a digit are variable fields, ``<*>``.  The first level of the tree is the
+number of words n, the second one a run of words at a fixed place.  Up to d = min(n / 4, MAX_VARIABLE) places of a line may
+vary, and the line is cut into d + 1 runs, so one run at least stands unchanged in all lines of a template: the leading
+words are one route into the tree, and where a variable field stands among them another run is.  Of the runs that recur in
+MIN_DOCS lines the first and the last are a line's routes.  Below a route (a leaf) the lines are compared place by place:
+the support of a word at a place is the number of lines of the leaf that have it there (supports under MIN_DOCS count as
+none), and the d places of least support become ``<*>``.  What is left is the line's template.  Templates that occur in at
+least MIN_DOCS documents are dropped.
+
+A line of LONG_WORDS words or more is also dropped when the same line stands in LONG_DOCS unrelated documents: documents
+are related when they share one of their SKETCH least other lines (by MD5), so that copies of one document keep theirs.
+
+A document is a distinct (id, text): repeated rows count once, and are treated alike.  Counts are combined before each
+shuffle, equal lines are worked on once, and only documents that lose lines are shuffled with their texts.  Defined cases:
+null texts stay null with no lines; blank lines and lines of fewer than MIN_WORDS words stay; an empty table stays empty;
+other columns stay, whatever their names, but columns n_lines and n_dropped of the input are replaced.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlog.llm import exact_dedup as exact
-from kvlog.llm.common import cut, forget, let, ship, stored, table
+from kvlog.llm.common import cut, forget, let, packed, stored, table
 
-LEADING = 2
-MIN_WORDS, WILD_WORDS = 3, 8
+MIN_WORDS = 3
 MIN_DOCS = 10
-#: Lines of so many words are dropped from so many unrelated documents on (drop_templates).
-LONG_WORDS, LONG_DOCS = 50, 3
-#: Documents are related when they share this part of the smaller one's word pairs, besides the line in question.
-RELATED = 0.5
-#: Recurring templates are broadcast up to this many (16 bytes each); beyond, the join shuffles.
-BROADCAST_KEYS = 1 << 20
-#: Lines are broadcast with their template up to this many.
-BROADCAST_LINES = 1 << 16
-#: A line joins a template of the tree when it agrees with it in this share of places.
-SIMILAR = 0.75
+#: Places that may vary: a quarter of the words, and at most so many.
+MAX_VARIABLE = 8
+LONG_WORDS, LONG_DOCS, SKETCH = 50, 3, 3
+#: Tables of keys are broadcast up to so many rows (of under 100 bytes each); beyond, the join shuffles.
+BROADCAST_KEYS = 1 << 18
 _BLANK = r"\x20\x09-\x0D"
 
 
-def _templates(words: Column) -> Column:
-    n = F.size(words)
-    quarter = F.floor(n / 4).cast("int")
-    whole = F.xxhash64(F.lit("w"), words)
-    head = F.xxhash64(F.lit("h"), n, F.slice(words, 1, n - quarter))
-    tail = F.xxhash64(F.lit("t"), n, F.slice(words, 1, LEADING), F.slice(words, quarter + 1, n))
-    return F.when(n >= WILD_WORDS, F.array(whole, head, tail)).when(n >= MIN_WORDS, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _masked(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<![^{_BLANK}])[^{_BLANK}]*?[0-9][^{_BLANK}]*", "<*>")
-
-
-def _lines(text: Column) -> Column:
-    """array of (line number, template)"""
-    return F.flatten(
-        F.transform(
-            F.split(_masked(text), "\n"),
-            lambda line, i: let(F.array_remove(F.split(line, rf"[{_BLANK}]+"), ""), lambda w: F.transform(_templates(w), lambda k: F.struct(i.alias("line"), k.alias("key")))),
-        )
-    )
-
-
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.withColumn("_kv_sha", F.sha2(F.concat_ws("\n", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text)), 256))
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _masked(line: Column) -> Column:
+    """The line's words joined by one space, words with digits as ``<*>``."""
+    one = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+    plain = F.when(one.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(one, rf"[{_BLANK}]+", " ")).otherwise(one)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+
+
+def _variable(n: Column) -> Column:
+    return F.least(F.floor(n / 4).cast("int"), F.lit(MAX_VARIABLE))
+
+
+def _run(words: Column, n: Column, j: Column) -> Column:
+    """Hash of a line's run j, with the path to it."""
+    runs = _variable(n) + 1
+    begin = F.floor(j * n / runs).cast("int")
+    return F.xxhash64(n, j, F.slice(words, begin + 1, F.floor((j + 1) * n / runs).cast("int") - begin))
+
+
+def _lines(keyed: DataFrame, text: Column) -> DataFrame:
+    """(sha, line, n, words, runs) of every line of at least MIN_WORDS words."""
+    lines = keyed.select("sha", F.posexplode(F.split(text, "\n")).alias("line", "raw")).select("sha", "line", _masked(F.col("raw")).alias("words"))
+    counted = lines.withColumn("n", F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
+    runs = let(F.split("words", " "), lambda w: F.transform(F.sequence(F.lit(0), _variable(F.col("n"))), lambda j: _run(w, F.col("n"), j)))
+    return counted.withColumn("runs", runs)
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """(sha, line, n, words, lo, hi) of the lines with a recurring run; lo and hi are the first and the last such run."""
+    often = cut(lines.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_DOCS).select("run"))
+    each = lines.select("sha", "line", "n", "words", F.posexplode("runs").alias("j", "run"))
+    n = often.count()
+    if n <= BROADCAST_KEYS:
+        hit = each.join(F.broadcast(often), "run", "left_semi")
+    else:  # a bitmap of bounded size first, so that few other runs are shuffled
+        masks, log_words = exact.masks_of(often, n, "run")
+        hit = exact.marked(each, cut(masks), log_words, "run").where("_maybe").join(often, "run", "left_semi")
+    return hit.groupBy("sha", "line", "n", "words").agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
+
+
+def _recurring(found: DataFrame) -> DataFrame:
+    """(a, b) hashes of the lines of recurring templates; found: (sha, line, n, lo, hi, words, a, b)."""
+    distinct = cut(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("words").alias("words")))
+    routes = distinct.select("a", "b", "c", "n", F.split("words", " ").alias("w"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("j")).withColumn("leaf", _run(F.col("w"), F.col("n"), F.col("j")))
+    places = routes.select("a", "b", "c", "n", "leaf", F.posexplode("w").alias("at", "word"))
+    support = cut(places.groupBy("leaf", "at", "word").agg(F.sum("c").alias("s")).where(F.col("s") >= MIN_DOCS))
+    ranked = places.join(_small(support), ["leaf", "at", "word"], "left").select("a", "b", "leaf", "n", F.struct((-F.coalesce("s", F.lit(0))).alias("s"), "at", "word").alias("p"))
+    own = ranked.groupBy("a", "b", "leaf").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("p")).alias("p"))
+    kept = F.array_sort(F.transform(F.slice("p", F.lit(1), F.col("n") - _variable(F.col("n"))), lambda x: F.struct(x["at"], x["word"])))
+    templates = cut(own.select("a", "b", "leaf", F.xxhash64("n", kept).alias("rest")))
+    # a line of MIN_DOCS documents makes its templates recur; the documents of all others are counted together
+    per = cut(found.select("a", "b", "sha").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs")))
+    hot = templates.join(per.where(F.col("docs") >= MIN_DOCS), ["a", "b"], "left_semi").select("leaf", "rest").distinct()
+    alone = per.where(F.col("docs") < MIN_DOCS)
+    enough = templates.join(alone, ["a", "b"]).groupBy("leaf", "rest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf", "rest")
+    open_ = cut(templates.join(_small(cut(enough)), ["leaf", "rest"], "left_semi").join(alone.select("a", "b"), ["a", "b"], "left_semi"))
+    each = found.select("a", "b", "sha").join(_small(open_), ["a", "b"]).select("leaf", "rest", "sha").distinct()
+    counted = each.groupBy("leaf", "rest").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf", "rest")
+    often = cut(hot.union(counted).distinct())
+    return templates.join(_small(often), ["leaf", "rest"], "left_semi").select("a", "b").distinct()
+
+
+def _passages(lines: DataFrame) -> DataFrame:
+    """(sha, line) of long lines that stand in several unrelated documents, but in too few to be a recurring template."""
+    whole = lines.where(F.col("n") >= LONG_WORDS).select("sha", "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
+    several = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LONG_DOCS).select("a", "b")
+    held = cut(whole.join(_small(cut(several)), ["a", "b"], "left_semi"))
+    docs = held.select("a", "b", "sha").distinct()
+    few = cut(docs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs").between(LONG_DOCS, MIN_DOCS - 1)).select("a", "b"))
+    docs = cut(docs.join(_small(few), ["a", "b"], "left_semi"))
+    holders = cut(docs.select("sha").distinct())
+    # SKETCH + 1 least lines a document: the line in question may be one of them
+    least = lines.join(_small(holders), "sha", "left_semi").select("sha", F.md5("words").alias("m"), F.xxhash64("words").alias("ma"), F.xxhash64(F.lit(1), "words").alias("mb")).distinct()
+    least = least.groupBy("sha").agg(F.slice(F.array_sort(F.collect_list(F.struct("m", "ma", "mb"))), 1, SKETCH + 1).alias("least"))
+    others = F.transform(F.slice(F.filter("least", lambda x: (x["ma"] != F.col("a")) | (x["mb"] != F.col("b"))), 1, SKETCH), lambda x: x["m"])
+    sketched = docs.join(least, "sha").select("a", "b", "sha", others.alias("o")).withColumn("o", F.when(F.size("o") == 0, F.array(F.lit(""))).otherwise(F.col("o")))
+    shared = sketched.select("a", "b", "sha", F.explode("o").alias("m"))
+    common = shared.groupBy("a", "b", "m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    related = shared.join(common, ["a", "b", "m"], "left_semi").select("a", "b", "sha").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("related"))
+    all_docs = docs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs")).join(related, ["a", "b"], "left")
+    groups = F.col("docs") - F.coalesce("related", F.lit(0)) + F.when(F.col("related") > 0, 1).otherwise(0)
+    gone = cut(all_docs.where(groups >= LONG_DOCS).select("a", "b"))
+    return held.join(_small(gone), ["a", "b"], "left_semi").select("sha", "line")
 
 
 def _without(keyed: DataFrame, names: list[str], text: str, lost: DataFrame) -> DataFrame:
-    """The rows without their lost lines (sha, _kv_lost)."""
+    """The rows (row, sha) without their lost lines (sha, gone)."""
     masks, log_words = exact.masks_of(lost.select("sha"), lost.count())
-    tested = exact.marked(keyed, cut(masks), log_words, "_kv_sha")
-    split = F.split(F.col(text), "\n")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
-    passed = tested.where(~F.col("_maybe")).select(*names, n_lines.alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped"))
-    # equal rows are many rows of one key: the lost lines go to each salt of a key that occurs
+    tested = exact.marked(keyed, cut(masks), log_words)
+    own = F.col("row").getField(text)
+    split = F.split(own, "\n")
+    n_lines = F.when(own.isNull(), F.lit(0)).otherwise(F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    stay = [c for c in names if c not in ("n_lines", "n_dropped")]
+    kept = [F.col("row").getField(c).alias(c) for c in stay]
+    passed = tested.where(~F.col("_maybe")).select(*kept, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    # equal rows are many rows of one key: the lost lines go to each salt
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int")
-    flagged = tested.where("_maybe").withColumn("_kv_salt", salt)
-    dealt = lost.select(F.col("sha").alias("_kv_sha"), "_kv_lost", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_kv_salt"))
-    joined = flagged.join(dealt, ["_kv_sha", "_kv_salt"], "left").withColumn("_kv_lines", split)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_kv_lines") - 1), F.col("_kv_lost"))
-    rest = F.array_join(let(F.col("_kv_lines"), lambda all_lines: F.transform(stay, lambda i: F.get(all_lines, i))), "\n")
-    cleaned = F.when(F.col("_kv_lost").isNull(), F.col(text)).otherwise(rest)
-    changed = joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], n_lines.alias("_n_lines"), F.coalesce(F.size("_kv_lost"), F.lit(0)).cast("long").alias("_n_dropped"))
+    flagged = tested.where("_maybe").withColumn("salt", salt)
+    dealt = lost.select("sha", "gone", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    joined = flagged.join(dealt, ["sha", "salt"], "left")
+    rest = F.array_join(let(split, lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))), "\n")
+    cleaned = F.when(F.col("gone").isNull(), own).otherwise(rest)
+    changed = joined.select(*[cleaned.alias(c) if c == text else k for c, k in zip(stay, kept, strict=True)], n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return passed.unionByName(changed)
 
 
-def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs without the recurring lines, and (n_lines, n_dropped) in columns _n_lines, _n_dropped."""
-    keyed = _keyed(docs, text, doc_id)
-    lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), _lines(F.col(text)).alias("found")).where(F.size("found") > 0), "lines")
-    often = cut(lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: x["key"]))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"))
-    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
-    hit = lines.select("sha", F.inline("found")).join(often, "key", "left_semi")
-    return _without(keyed, docs.columns, text, cut(hit.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost")))
-
-
-def _grow(part: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one cell: each line, in the order of its words, joins the template it agrees with in most places, and places
-    that differ become variable; a line that agrees with none in SIMILAR of all places starts one."""
-    part = part.sort_values("words").reset_index(drop=True)
-    number: dict[str, int] = {}
-    lines = np.array([[number.setdefault(w, len(number)) for w in x.split(" ")] for x in part["words"]], dtype=np.int32)
-    made, n, own = np.empty((16, lines.shape[1]), dtype=np.int32), 0, []
-    for line in lines:
-        same = (made[:n] == line).sum(1)
-        best = int(same.argmax()) if n else -1
-        if n and same[best] >= SIMILAR * len(line):
-            made[best][made[best] != line] = -1
-        else:
-            made = np.concatenate([made, np.empty_like(made)]) if n == len(made) else made
-            made[n], best, n = line, n, n + 1
-        own.append(best)
-    return pd.DataFrame({"cell": part["cell"], "words": part["words"], "number": pd.Series(own, dtype="int64")})
-
-
-def _unrelated(part: pd.DataFrame) -> pd.DataFrame:
-    """The number of groups of related documents among those of one template (fewer than MIN_DOCS)."""
-    groups: list[list[set]] = []
-    for found, lost in zip(part["found"], part["lines"], strict=True):
-        gone = set(lost)
-        rest = {p for x in found if x["line"] not in gone for p in pairwise(x["words"].split(" "))}
-        near = [g for g in groups if any(len(rest & o) >= RELATED * min(len(rest), len(o)) if rest and o else not rest and not o for o in g)]
-        groups = [g for g in groups if not any(g is x for x in near)] + [[rest, *(o for g in near for o in g)]]
-    return pd.DataFrame({"key": part["key"].iloc[:1], "groups": [len(groups)]})
-
-
-def drop_templates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Like drop_lines, by the whole template tree: any places of a line may vary, up to a quarter of them.
-
-    A cell of the tree is a number of words and the leading words; only lines of cells that occur in enough documents are
-    compared, place by place, each distinct line once a cell.  A line of LONG_WORDS words
-    goes from LONG_DOCS documents on, as long as these are unrelated: copies of one document keep theirs.  What drop_lines drops is dropped here as well.
-    """
-    keyed = _keyed(docs, text, doc_id)
-    found = F.filter(
-        F.transform(
-            F.split(_masked(F.col(text)), "\n"),
-            lambda line, i: let(
-                F.array_remove(F.split(line, rf"[{_BLANK}]+"), ""),
-                lambda w: F.struct(i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, LEADING)).alias("cell"), F.array_join(w, " ").alias("words")),
-            ),
-        ),
-        lambda x: x["n"] >= MIN_WORDS,
-    )
-    lines = stored(keyed.select(F.unhex("_kv_sha").alias("sha"), found.alias("found")).where(F.size("found") > 0), "lines")
-    found_cells = lines.select(F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["cell"], x["n"])))).alias("x"))
-    enough = (F.col("docs") >= min_docs) | ((F.col("n") >= LONG_WORDS) & (F.col("docs") >= LONG_DOCS))
-    cells = found_cells.groupBy("x.cell", "x.n").agg(F.count(F.lit(1)).alias("docs")).where(enough)
-    cells = cut(cells.select("cell").distinct())
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_KEYS else cells
-    hit = stored(lines.select("sha", F.inline("found")).join(cells, "cell", "left_semi"), "hit")
-    ship(docs.sparkSession)
-    # the same words in one cell only, but for collisions: n keeps lines of one cell of one length
-    distinct = hit.select("n", "cell", "words").distinct()
-    grown = cut(distinct.groupBy("n", "cell").applyInPandas(lambda p: _grow(p), "cell long, words string, number long").select("words", F.xxhash64(F.lit("g"), "cell", F.size(F.split("words", " ")), "number").alias("grown")))
-    grown = F.broadcast(grown) if grown.count() <= BROADCAST_LINES else grown
-    keys = F.array_append(_templates(F.split("words", " ")), F.col("grown"))
-    keyed_lines = stored(hit.join(grown, "words").select("sha", "line", "n", "grown", keys.alias("keys")), "keys")
-    forget(hit)
-    hit = keyed_lines
-    per = hit.select("sha", "n", F.explode("keys").alias("key")).groupBy("key", "sha").agg(F.max("n").alias("n"))
-    counts = cut(per.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")).where(enough))
-    few = counts.where(F.col("docs") < min_docs).select("key")
-    few = hit.select(F.col("grown").alias("key"), "sha", "line").join(few, "key", "left_semi").groupBy("key", "sha").agg(F.collect_set("line").alias("lines"))
-    few = cut(few)
-    few = F.broadcast(few) if few.count() <= BROADCAST_LINES else few
-    few = lines.join(few, "sha").groupBy("key").applyInPandas(lambda p: _unrelated(p), "key long, groups long").where(F.col("groups") >= LONG_DOCS)
-    often = cut(counts.where(F.col("docs") >= min_docs).select("key").union(few.select("key")))
+def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without the recurring lines, then n_lines and n_dropped."""
+    own = F.col("row").getField(text)
+    sha = F.unhex(F.sha2(F.concat_ws("\n", F.coalesce(F.col("row").getField(doc_id).cast("string"), F.lit("")), own), 256))
+    keyed = packed(docs).withColumn("sha", sha)
+    lines = stored(_lines(keyed.where(own.isNotNull()), own), "lines")
+    found = stored(_candidates(lines).withColumns({"a": F.xxhash64("words"), "b": F.xxhash64(F.lit(1), "words")}), "found")
+    recurring = cut(_recurring(found))
+    gone = found.join(_small(recurring), ["a", "b"], "left_semi").select("sha", "line").unionByName(_passages(lines))
+    lost = cut(gone.distinct().groupBy("sha").agg(F.collect_list("line").alias("gone")))
     forget(lines)
-    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
-    gone = hit.select("sha", "line", F.explode("keys").alias("key")).join(often, "key", "left_semi")
-    lost = cut(gone.groupBy("sha").agg(F.collect_set("line").alias("_kv_lost")).select(F.lower(F.hex("sha")).alias("sha"), "_kv_lost"))
-    forget(hit)
+    forget(found)
     return _without(keyed, docs.columns, text, lost)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def op10_line_templates(spark, sf_dir: str) -> DataFrame:
-    out = drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP10_SQL = rf"""
-WITH l AS (
-  SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
-w AS (
-  SELECT *, list_transform(list_filter(string_split_regex(line, '[{_BLANK}]+'), lambda x: x <> ''),
-                           lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-k AS (
-  SELECT doc_id, i, 'w ' || array_to_string(w, ' ') AS k FROM w WHERE len(w) >= {MIN_WORDS}
-  UNION ALL SELECT doc_id, i, 'h ' || len(w) || ' ' || array_to_string(w[1:len(w) - len(w) // 4], ' ') FROM w WHERE len(w) >= {WILD_WORDS}
-  UNION ALL SELECT doc_id, i, 't ' || len(w) || ' ' || array_to_string(w[1:{LEADING}], ' ') || '|' || array_to_string(w[len(w) // 4 + 1:], ' ') FROM w WHERE len(w) >= {WILD_WORDS}),
-often AS (SELECT k FROM k GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-lost AS (SELECT DISTINCT doc_id, i FROM k WHERE k IN (SELECT k FROM often)),
+WITH raw AS (
+  SELECT doc_id, text, unnest(range(len(s))) AS line, unnest(s) AS t
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+l AS (
+  SELECT doc_id, line, w, len(w) AS n, least(len(w) // 4, {MAX_VARIABLE}) AS d
+  FROM (SELECT doc_id, line, list_transform(list_filter(string_split_regex(t, '[{_BLANK}]+'), lambda x: x <> ''),
+                                            lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw)
+  WHERE len(w) >= {MIN_WORDS}),
+runs AS (
+  SELECT doc_id, line, n, d, w, j, w[j * n // (d + 1) + 1:(j + 1) * n // (d + 1)] AS run
+  FROM (SELECT *, unnest(range(d + 1)) AS j FROM l)),
+often AS (SELECT n, j, run FROM runs GROUP BY ALL HAVING count(*) >= {MIN_DOCS}),
+cand AS (SELECT doc_id, line, n, d, w, min(j) AS lo, max(j) AS hi FROM runs WHERE (n, j, run) IN (SELECT (n, j, run) FROM often) GROUP BY ALL),
+dl AS (SELECT w, n, d, lo, hi, count(*) AS c FROM cand GROUP BY ALL),
+routes AS (
+  SELECT w, n, d, c, j, w[j * n // (d + 1) + 1:(j + 1) * n // (d + 1)] AS run
+  FROM (SELECT w, n, d, c, unnest(list_distinct([lo, hi])) AS j FROM dl)),
+places AS (SELECT w, n, d, c, j, run, unnest(range(n)) AS p, unnest(w) AS word FROM routes),
+support AS (SELECT n, j, run, p, word, sum(c) AS s FROM places GROUP BY ALL HAVING sum(c) >= {MIN_DOCS}),
+ranked AS (
+  SELECT w, n, d, j, run, p, word, row_number() OVER (PARTITION BY w, j ORDER BY coalesce(s, 0) DESC, p) AS r
+  FROM places LEFT JOIN support USING (n, j, run, p, word)),
+templates AS (SELECT w, n, j, run, list((p, word) ORDER BY p) AS t FROM ranked WHERE r <= n - d GROUP BY w, n, j, run),
+recur AS (
+  SELECT n, j, run, t FROM (SELECT DISTINCT n, j, run, t, doc_id FROM templates JOIN cand USING (w, n)) GROUP BY ALL HAVING count(*) >= {MIN_DOCS}),
+gone AS (SELECT DISTINCT w FROM templates WHERE (n, j, run, t) IN (SELECT (n, j, run, t) FROM recur)),
+h AS (SELECT doc_id, line, n, md5(array_to_string(w, ' ')) AS m FROM l),
+long AS (SELECT m, count(DISTINCT doc_id) AS docs FROM h WHERE n >= {LONG_WORDS} GROUP BY m HAVING count(DISTINCT doc_id) BETWEEN {LONG_DOCS} AND {MIN_DOCS - 1}),
+holder AS (SELECT DISTINCT m, doc_id FROM h WHERE m IN (SELECT m FROM long)),
+least_lines AS (
+  SELECT k.m, k.doc_id, o.m AS o, row_number() OVER (PARTITION BY k.m, k.doc_id ORDER BY o.m) AS r
+  FROM holder k JOIN (SELECT DISTINCT doc_id, m FROM h) o ON o.doc_id = k.doc_id AND o.m <> k.m),
+sketch AS (
+  SELECT m, doc_id, o FROM least_lines WHERE r <= {SKETCH}
+  UNION ALL SELECT m, doc_id, '' FROM holder k WHERE NOT EXISTS (SELECT 1 FROM least_lines x WHERE x.m = k.m AND x.doc_id = k.doc_id)),
+related AS (
+  SELECT m, count(DISTINCT doc_id) AS related FROM sketch WHERE (m, o) IN (SELECT (m, o) FROM sketch GROUP BY m, o HAVING count(*) > 1) GROUP BY m),
+passage AS (SELECT m FROM long LEFT JOIN related USING (m) WHERE docs - coalesce(related, 0) + CAST(coalesce(related, 0) > 0 AS INT) >= {LONG_DOCS}),
+lost AS (
+  SELECT doc_id, line FROM l WHERE w IN (SELECT w FROM gone)
+  UNION SELECT doc_id, line FROM h WHERE n >= {LONG_WORDS} AND m IN (SELECT m FROM passage)),
 kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(lost.i) AS n_dropped,
-         coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE lost.i IS NULL), '') AS t
-  FROM l LEFT JOIN lost ON l.doc_id = lost.doc_id AND l.i = lost.i GROUP BY l.doc_id)
+  SELECT raw.doc_id, count(*) AS n_lines, count(lost.line) AS n_dropped,
+         coalesce(string_agg(raw.t, chr(10) ORDER BY raw.line) FILTER (WHERE lost.line IS NULL), '') AS t
+  FROM raw LEFT JOIN lost ON raw.doc_id = lost.doc_id AND raw.line = lost.line GROUP BY raw.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)
 """

@@ -212,42 +212,42 @@ def test_warc(spark, tmp_path):
 
 
 def test_line_dedup(spark, none):
-    data = [(i, f"own line {chr(97 + i) * 5} of {chr(110 + i) * 4}\nbuild {i} finished on host-{i} without any error at all\n\nshort") for i in range(12)] + [(50, None), (51, "")]
-    out = {r["doc_id"]: r for r in line_dedup.drop_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    for i in range(12):
-        assert out[i]["text"].split("\n")[1:] == ["", "short"] and out[i]["_n_dropped"] == 1
-    assert out[50]["text"] is None and out[51]["text"] == ""
-    assert line_dedup.drop_lines(none).count() == 0
-
-
-def test_line_templates(spark, none):
     def varied(i, text):
         return " ".join(x if x != "?" else "v" + chr(97 + i) for x in text.split())
 
-    forms = ["one word in the ? middle of this line", "here early ? and again late in this same ? line of fourteen words", "lines of four ?", "and now ? but ? or ? with all of what else stands here alike"]
-    data = [(i, "\n".join([f"own {chr(97 + i) * 5} text {chr(110 + i) * 4}", *(varied(i, f) for f in forms)])) for i in range(12)] + [(50, None), (51, ""), (52, "own aaaaa text nnnn\nlines of four")]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    out = {r["doc_id"]: r for r in line_dedup.drop_templates(docs).collect()}
+    forms = [
+        "one word in the ? middle of this line",
+        "here early ? and again late in this same ? line of fourteen words",
+        "lines of four ?",
+        "and now ? but ? or ? with all of what else stands here alike",
+        "user ? logged in from the main office today at noon",
+        "the report was opened by reader ? early this morning again",
+        "build 7? finished on host-? without any error at all",
+    ]
+    data = [(i, "\n".join([f"own {chr(97 + i) * 5} text {chr(110 + i) * 4}", "", *(varied(i, f).replace("7v", f"7{i}") for f in forms), "short"]), "x") for i in range(12)]
+    data += [(50, None, "x"), (51, "", "x"), (52, "own aaaaa text nnnn\nlines of four", "x"), (None, "lines of four indeed\nkept", "x"), (53, "w " * 20000 + "\nlines of four long", "x")]
+    # one document with many lines of a form, and one row repeated many times: no recurring templates
+    data += [(60, "\n".join(f"row {chr(97 + i)} stays as it is" for i in range(15)), "x")] + [(61, "this row is repeated as a whole", "x")] * 15
+    docs = spark.createDataFrame(data, "doc_id long, text string, sha string").repartition(3)
+    got = line_dedup.drop_lines(docs)
+    assert got.columns == ["doc_id", "text", "sha", "n_lines", "n_dropped"]
+    out = {r["doc_id"]: r for r in got.collect()}
     for i in range(12):
-        assert out[i]["text"] == data[i][1].split("\n")[0] and out[i]["_n_dropped"] == 4
-    assert [out[i]["text"] for i in (50, 51, 52)] == [None, "", data[-1][1]]
-    assert line_dedup.drop_templates(none).count() == 0
+        assert out[i]["text"] == data[i][1].split("\n")[0] + "\n\nshort" and (out[i]["n_lines"], out[i]["n_dropped"]) == (10, 7)
+    assert [out[i]["text"] for i in (50, 51, 52)] == [None, "", data[14][1]]
+    assert out[None]["text"] == "kept" and out[53]["text"] == "w " * 20000
+    assert out[60]["n_dropped"] == out[61]["n_dropped"] == 0 and got.where("doc_id = 61").count() == 15
+    assert line_dedup.drop_lines(none).count() == 0
 
 
 def test_long_lines_in_few_unrelated_documents(spark):
     passage, copied = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     own = [" ".join(f"{chr(97 + i)}{chr(97 + j)}x" for j in range(20)) for i in range(6)]
-    data = [(i, f"{own[i]}\n{passage}\nshort line of few words") for i in range(4)] + [(10 + i, f"{own[4]} again {chr(97 + i)}\n{copied}") for i in range(5)]
-    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_templates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    data = [(i, f"{own[i]}\n{passage}\nshort line of few words") for i in range(4)] + [(10 + i, f"{own[4]}\nagain here {chr(97 + i)}\n{copied}") for i in range(5)]
+    data = [(i, t.replace("short line of few words", f"short line {own[i % 4]}")) for i, t in data]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     for i, text in data:
-        assert out[i] == (text if i >= 10 else f"{own[i]}\nshort line of few words")
-
-
-def test_line_templates_drop_what_line_dedup_drops(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    less = {r["doc_id"]: r["_n_dropped"] for r in line_dedup.drop_lines(docs).collect()}
-    more = {r["doc_id"]: r["_n_dropped"] for r in line_dedup.drop_templates(docs).collect()}
-    assert less.keys() == more.keys() and all(more[k] >= n for k, n in less.items())
+        assert out[i] == (text if i >= 10 else f"{own[i]}\nshort line {own[i]}")
 
 
 def test_sharding(spark, docs):
