@@ -25,6 +25,13 @@ def in_range(value: str, query: tuple[float, float] | None) -> Column:
     return F.col(value).between(*query) & ~F.isnan(value)
 
 
+def ranges_overlap(low: str, high: str, query: tuple[float, float] | None) -> Column:
+    """Closed intervals that touch; no query matches everything; null and NaN never match."""
+    if query is None:
+        return F.lit(True)
+    return F.coalesce((F.col(low) <= query[1]) & (F.col(high) >= query[0]) & ~F.isnan(low) & ~F.isnan(high), F.lit(False))
+
+
 def area(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
     return (x1 - x0) * (y1 - y0)
 
@@ -48,6 +55,36 @@ def z_value(x: Column, y: Column, bits: int) -> Column:
     return out
 
 
+def z_less(a: tuple[Column, Column], b: tuple[Column, Column], bits: int = 31) -> Column:
+    """Whether cell a comes before cell b in Z-order: x is the more significant of each pair of bits."""
+    return z_value(*a, bits) < z_value(*b, bits)
+
+
+def perimeter(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    return 2 * ((x1 - x0) + (y1 - y0))
+
+
+def hilbert_cell_udf(bits: int):
+    """The inverse of ``hilbert_udf``: the cell struct (x, y) at a distance."""
+
+    @F.pandas_udf("x long, y long")
+    def cell_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for ds in batches:
+            t = ds.to_numpy().copy()
+            x, y = t * 0, t * 0
+            for k in range(bits):
+                rx = (t >> 1) & 1
+                ry = (t ^ rx) & 1
+                s = 1 << k
+                flip, swap = (ry == 0) & (rx == 1), ry == 0
+                x[flip], y[flip] = s - 1 - x[flip], s - 1 - y[flip]
+                x[swap], y[swap] = y[swap].copy(), x[swap].copy()
+                x, y, t = x + s * rx, y + s * ry, t >> 2
+            yield pd.DataFrame({"x": x, "y": y})
+
+    return cell_of
+
+
 def hilbert_udf(bits: int):
     """Arrow-batched distance along the Hilbert curve of order ``bits`` of two cell numbers."""
 

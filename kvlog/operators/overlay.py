@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvlog.operators.ordering import numbered
 from kvlog.operators.schema import DELETE, Log
 
 
@@ -20,8 +21,8 @@ def conflicts(write_set: DataFrame, log: DataFrame, d: Log, snapshot: int) -> Da
 
 
 def sequenced(batch: DataFrame, ordinal: str, first: int, seq: str = "seq") -> DataFrame:
-    """A batch's operations with consecutive sequences; a batch is what one commit holds."""
-    return batch.withColumn(seq, (F.lit(first - 1) + F.row_number().over(Window.orderBy(ordinal))).cast("long"))
+    """A batch's operations with consecutive sequences in the order of ``ordinal``."""
+    return numbered(batch, ordinal, alias=seq, start=first)
 
 
 def ingest(log: DataFrame, external: DataFrame, seq: str, behind: bool = False) -> DataFrame:
@@ -31,7 +32,15 @@ def ingest(log: DataFrame, external: DataFrame, seq: str, behind: bool = False)
 
 
 def changes_since(log: DataFrame, seq: str, start: int) -> DataFrame:
-    return log.where(F.col(seq) >= start)
+    """Changes from a sequence on, in order."""
+    return log.where(F.col(seq) >= start).orderBy(seq)
+
+
+def batches_since(log: DataFrame, seq: str, start: int, batch: str, *columns: str) -> DataFrame:
+    """Changes from a sequence on, one row a batch: its first sequence and its operations in order.  A batch that begins
+    before ``start`` comes whole if it reaches over it."""
+    whole = log.groupBy(batch).agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.array_sort(F.collect_list(F.struct(seq, *columns))).alias("ops"))
+    return whole.where(F.col("last") >= start).orderBy("first")
 
 
 def batch_counts(batch: DataFrame, op: str) -> DataFrame:

@@ -59,13 +59,18 @@ def key_may_exist(log: DataFrame, keys: DataFrame, d: Log) -> DataFrame:
     return keys.join(log.select(*d.key), list(d.key), "left_semi")
 
 
-def stripes(log: DataFrame, d: Log, snapshots: list[int]) -> DataFrame:
-    """The newest version of each key in each interval between snapshots: what compaction has to keep."""
+def stripe_of(d: Log, snapshots: list[int]) -> Column:
+    """The least snapshot at or above a row's sequence; null above all of them."""
     column = F.lit(None).cast("long")
     for s in sorted(snapshots, reverse=True):
         column = F.when(F.col(d.seq) <= s, F.lit(s).cast("long")).otherwise(column)
+    return column
+
+
+def stripes(log: DataFrame, d: Log, snapshots: list[int]) -> DataFrame:
+    """The newest version of each key in each interval between snapshots: what compaction has to keep of puts and deletes."""
     rest = [c for c in log.columns if c not in d.key]
-    striped = log.withColumn("stripe", column)
+    striped = log.withColumn("stripe", stripe_of(d, snapshots))
     return striped.groupBy(*d.key, "stripe").agg(F.max_by(F.struct(*rest), d.seq).alias("_v")).select(*d.key, "stripe", "_v.*")
 
 
@@ -90,3 +95,8 @@ def deletion_trigger(log: DataFrame, file: str, order: str, is_delete: Column, w
     """Files in which some ``window`` consecutive entries hold at least ``trigger`` deletes."""
     w = Window.partitionBy(file).orderBy(order).rowsBetween(1 - window, 0)
     return log.withColumn("_d", F.sum(is_delete.cast("long")).over(w)).groupBy(file).agg(F.max("_d").alias("most_deletes")).withColumn("flagged", F.col("most_deletes") >= trigger)
+
+
+def deletion_ratio(log: DataFrame, file: str, is_delete: Column, ratio: float) -> DataFrame:
+    """Files whose deletes are at least this share of their entries."""
+    return log.groupBy(file).agg(F.avg(is_delete.cast("double")).alias("ratio")).withColumn("flagged", F.col("ratio") >= ratio)

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def entity(value: Column) -> Column:
-    """A plain value read as an entity: one column without a name."""
-    return F.create_map(F.lit(""), value)
+def entity(value: Column, columns: Column | None = None) -> Column:
+    """A row read as an entity: its wide columns; a plain value is one column without a name."""
+    plain = F.create_map(F.lit(""), value)
+    return plain if columns is None else F.coalesce(columns, plain)
+
+
+def plain_value(value: Column, columns: Column) -> Column:
+    """A row read as a plain value: of an entity, its column without a name."""
+    return F.when(columns.isNull(), value).otherwise(F.try_element_at(columns, F.lit("")))
 
 
 def column(entity_map: Column, name: str) -> Column:
@@ -37,3 +43,13 @@ def expire(columns: Column, now: Column) -> Column:
 def collect_tombstones(columns: Column, now: Column, grace: int) -> Column:
     """Without tombstones older than the grace period; for a full merge only."""
     return F.filter(columns, lambda c: ~((c["kind"] == "tombstone") & (c["ts"] + grace < now)))
+
+
+def live_rows(columns: Column) -> Column:
+    """Whether a row has any column left; one without goes at the next compaction."""
+    return F.size(columns) > 0
+
+
+def purge_expired(columns: Column, now: Column) -> Column:
+    """Without expired columns, where they need not become tombstones."""
+    return F.filter(columns, lambda c: ~((c["kind"] == "expiring") & (c["ts"] + c["ttl"] < now)))

@@ -99,12 +99,7 @@ def _(spark, d):
     return ranges.scan(_t(spark, d, "customer"), "c_custkey", 20, 60)
 
 
-@query("kv_scan_reverse", "SELECT * FROM customer ORDER BY c_custkey DESC LIMIT 25")
-def _(spark, d):
-    return _t(spark, d, "customer").orderBy(F.desc("c_custkey")).limit(25)
-
-
-@query("kv_scan_reverse_all", "SELECT * FROM customer ORDER BY c_custkey DESC")
+@query("kv_scan_reverse", "SELECT * FROM customer ORDER BY c_custkey DESC")
 def _(spark, d):
     return _t(spark, d, "customer").orderBy(F.desc("c_custkey"))
 
@@ -244,10 +239,11 @@ def _(spark, d):
 _CELL_SQL = "CAST(greatest(0, least(15, floor(((xmin + xmax) / 2 - 0) / 52 * 16))) AS BIGINT) AS cx, CAST(greatest(0, least(15, floor(((ymin + ymax) / 2 - 0) / 0.2 * 16))) AS BIGINT) AS cy"
 
 
-def _sketch(spark, d):
+def _sketch(spark, d, where=None):
     cx = g.cell((F.col("xmin") + F.col("xmax")) / 2, 0, 52, 16)
     cy = g.cell((F.col("ymin") + F.col("ymax")) / 2, 0, 0.2, 16)
-    return _boxes(spark, d).groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _boxes(spark, d)
+    return (rows if where is None else rows.where(where)).groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sketch16", f"SELECT cx, cy, count(*) AS n FROM (SELECT {_CELL_SQL} FROM {_BOXES_SQL}) GROUP BY 1, 2")
@@ -268,17 +264,23 @@ def _(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", g.z_value(F.col("l_orderkey") % 256, F.col("l_partkey") % 256, 8).alias("z"))
 
 
-@query("hilbert_value")
-def _(spark, d):
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", g.hilbert_udf(8)(F.col("l_orderkey") % 256, F.col("l_partkey") % 256).alias("h"))
+def _hilbert_sql(bits: int) -> str:
+    """The distance along the curve, one level after the other from the coarsest: x, y as they are turned, and the sum so far."""
+    level = "SELECT l_orderkey, l_partkey, CAST(l_orderkey % {n} AS BIGINT) AS x, CAST(l_partkey % {n} AS BIGINT) AS y, CAST(0 AS BIGINT) AS h FROM lineitem".format(n=1 << bits)
+    for k in reversed(range(bits)):
+        s = 1 << k
+        rx, ry = f"((x >> {k}) & 1)", f"((y >> {k}) & 1)"
+        turned = lambda a, b, s=s, rx=rx, ry=ry: f"CASE WHEN {ry} = 1 THEN {a} WHEN {rx} = 1 THEN {s - 1} - ({b} & {s - 1}) ELSE {b} END"
+        level = f"SELECT l_orderkey, l_partkey, {turned('x', 'y')} AS x, {turned('y', 'x')} AS y, h + {s * s} * xor(3 * {rx}, {ry}) AS h FROM ({level})"
+    return f"SELECT l_orderkey, l_partkey, h FROM ({level})"
 
 
-@query("range_center_sort", "SELECT event_id, (value + value + 10) / 2 AS center FROM events ORDER BY center, event_id LIMIT 50")
+@query("hilbert_value", _hilbert_sql(8))
 def _(spark, d):
-    return _events(spark, d).select("event_id", ((F.col("value") + F.col("value") + 10) / 2).alias("center")).orderBy("center", "event_id").limit(50)
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", g.hilbert_udf(8)(F.col("l_orderkey") % 256, F.col("l_partkey") % 256).alias("h"))
 
 
-@query("range_center_sort_all", "SELECT event_id, (value + value + 10) / 2 AS center FROM events ORDER BY center, event_id")
+@query("range_center_sort", "SELECT event_id, (value + value + 10) / 2 AS center FROM events ORDER BY center, event_id")
 def _(spark, d):
     return _events(spark, d).select("event_id", ((F.col("value") + F.col("value") + 10) / 2).alias("center")).orderBy("center", "event_id")
 
@@ -315,12 +317,6 @@ def _(spark, d):
     return merge.fold(rows, _CENTS, "sortlist").withColumn("value", F.array_join("value", ","))
 
 
-@query("merge_mul_small", "SELECT user_id, CAST(product(1 + event_id % 3) AS BIGINT) AS value FROM events WHERE event_id < 600 GROUP BY 1")
-def _(spark, d):
-    rows = _events(spark, d).where("event_id < 600").select("user_id", "event_id", (1 + F.col("event_id") % 3).alias("cents"))
-    return merge.fold(rows, _CENTS, "mul")
-
-
 @query("merge_mul_sign", "SELECT user_id, CAST(product(1 - 2 * (event_id % 2)) AS BIGINT) AS value FROM events GROUP BY 1")
 def _(spark, d):
     rows = _events(spark, d).select("user_id", "event_id", (1 - 2 * (F.col("event_id") % 2)).alias("cents"))
@@ -349,10 +345,13 @@ def _(spark, d):
     return out.withColumn("operands", F.array_join("operands", ","))
 
 
-@query("agg_merge")
+_AGG = "list(struct_pack(f := CASE op WHEN 'put' THEN 'max' ELSE 'sum' END, v := cents) ORDER BY event_id)"
+
+
+@query("agg_merge", f"SELECT user_id, list_reduce({_AGG}, lambda a, x: struct_pack(f := x.f, v := CASE x.f WHEN 'sum' THEN a.v + x.v ELSE greatest(a.v, x.v) END)).v AS value, 'ok' AS status FROM {_OPS_SQL} GROUP BY 1")
 def _(spark, d):
     rows = _ops(spark, d).withColumn("f", F.when(F.col("op") == "put", "max").otherwise("sum"))
-    return merge.agg_merge(rows, OPS, "f", "cents")
+    return merge.agg_merge(rows, OPS, "f", "cents").select("user_id", "value", "status")
 
 
 # --- tombstones, compaction, eviction
@@ -388,7 +387,11 @@ def _(spark, d):
     return _t(spark, d, "documents").where(F.octet_length("text") > 0).select("doc_id")
 
 
-@query("compaction", f"SELECT user_id, event_id, op, cents FROM {_newest('user_id', table=_OPS_SQL)} WHERE op <> 'delete' AND {_LIVE} AND cents >= 100")
+@query(
+    "compaction",
+    f"""WITH k AS (SELECT * FROM (SELECT *, max(CASE WHEN op <> 'merge' THEN event_id END) OVER (PARTITION BY user_id) AS b, max(event_id) OVER (PARTITION BY user_id) AS top FROM {_OPS_SQL} WHERE {_LIVE}) WHERE b IS NULL OR event_id >= b)
+        SELECT user_id, event_id, op, cents FROM k WHERE op <> 'delete' AND NOT (op = 'put' AND event_id = top AND cents < 100)""",
+)
 def _(spark, d):
     return compact.compact(_ops(spark, d), OPS, drop=F.col("cents") < 100, tombstones=_tombs(spark)).select("user_id", "event_id", "op", "cents")
 
@@ -460,13 +463,7 @@ def _(spark, d):
     return maps.select("user_id", wide.column(F.col("columns"), "click").alias("click")).where(F.col("click").isNotNull())
 
 
-@query("wide_default_column", "SELECT o_orderkey, o_orderstatus AS value FROM orders WHERE o_orderkey < 100")
-def _(spark, d):
-    e = _t(spark, d, "orders").where("o_orderkey < 100").select("o_orderkey", wide.entity(F.col("o_orderstatus")).alias("columns"))
-    return e.select("o_orderkey", wide.column(F.col("columns"), "").alias("value"))
-
-
-@query("wide_default_column_all", "SELECT o_orderkey, o_orderstatus AS value FROM orders")
+@query("wide_default_column", "SELECT o_orderkey, o_orderstatus AS value FROM orders")
 def _(spark, d):
     e = _t(spark, d, "orders").select("o_orderkey", wide.entity(F.col("o_orderstatus")).alias("columns"))
     return e.select("o_orderkey", wide.column(F.col("columns"), "").alias("value"))
@@ -510,12 +507,7 @@ def _(spark, d):
     return overlay.changes_since(_events(spark, d), "event_id", 700).select("event_id", "user_id", "event_type")
 
 
-@query("batch_write", "SELECT user_id, CAST(1000000 - 1 + row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq FROM events WHERE event_id < 40")
-def _(spark, d):
-    return overlay.sequenced(_events(spark, d).where("event_id < 40"), "event_id", 1_000_000).select("user_id", "seq")
-
-
-@query("batch_write_all", "SELECT user_id, CAST(1000000 - 1 + row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq FROM events")
+@query("batch_write", "SELECT user_id, CAST(1000000 - 1 + row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq FROM events")
 def _(spark, d):
     return overlay.sequenced(_events(spark, d), "event_id", 1_000_000).select("user_id", "seq")
 
@@ -655,13 +647,18 @@ def _blocks(spark, d):
     return _events(spark, d).withColumn("size", F.length("props"))
 
 
-for _policy in cachesim.POLICIES:
+for _policy in ("lru", "mru", "lfu", "fifo", "opt"):
 
     @query(f"{_policy}_misses")
     def _(spark, d, policy=_policy):
-        return cachesim.simulate(_blocks(spark, d), "user_id", "size", "event_id", [128, 512, 2048], policy, shards=1)
+        return cachesim.simulate(_blocks(spark, d), "user_id", "size", "event_id", [128, 512, 2048], policy)
 
 
-@query("reuse_distance")
+@query(
+    "reuse_distance",
+    """WITH a AS (SELECT event_type AS label, event_id AS at, length(props) AS s, lag(event_id) OVER w AS prev, lead(event_id) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id))
+       SELECT i.label, i.at, CAST(CASE WHEN any_value(i.prev) IS NOT NULL THEN coalesce(sum(k.s), 0) END AS BIGINT) AS distance
+       FROM a i LEFT JOIN a k ON k.label = i.label AND k.at > i.prev AND k.at < i.at AND (k.nxt IS NULL OR k.nxt > i.at) GROUP BY 1, 2""",
+)
 def _(spark, d):
     return cachesim.reuse_distances(_blocks(spark, d), "user_id", "size", "event_id", "event_type")
