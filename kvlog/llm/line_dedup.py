@@ -40,36 +40,42 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _masked(line: Column) -> Column:
-    """The line's words joined by one space, words with digits as ``<*>``."""
-    one = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-    plain = F.when(one.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(one, rf"[{_BLANK}]+", " ")).otherwise(one)
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
-
-
 def _variable(n: Column) -> Column:
     return F.least(F.floor(n / 4).cast("int"), F.lit(MAX_VARIABLE))
 
 
 def _run(words: Column, n: Column, j: Column) -> Column:
-    """Hash of a line's run j, with the path to it."""
+    """Hash of a line's run j, with the path to it; null past the last run.  Cut out of the text: arrays of words would cost more."""
     runs = _variable(n) + 1
-    begin = F.floor(j * n / runs).cast("int")
-    return F.xxhash64(n, j, F.slice(words, begin + 1, F.floor((j + 1) * n / runs).cast("int") - begin))
+    begin, end = F.floor(j * n / runs).cast("int"), F.floor((j + 1) * n / runs).cast("int")
+    part = F.call_function("substring_index", F.call_function("substring_index", words, F.lit(" "), end), F.lit(" "), begin - end)
+    return F.when(j < runs, F.xxhash64(n, j, part))
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is evaluated once, wherever it is used: projections would be merged and repeat it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _lines(keyed: DataFrame, text: Column) -> DataFrame:
-    """(sha, line, n, words, runs) of every line of at least MIN_WORDS words."""
-    lines = keyed.select("sha", F.posexplode(F.split(text, "\n")).alias("line", "raw")).select("sha", "line", _masked(F.col("raw")).alias("words"))
-    counted = lines.withColumn("n", F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_WORDS)
-    runs = let(F.split("words", " "), lambda w: F.transform(F.sequence(F.lit(0), _variable(F.col("n"))), lambda j: _run(w, F.col("n"), j)))
-    return counted.withColumn("runs", runs)
+    """(sha, line, n, words, runs) of every line of at least MIN_WORDS words; words are joined by one space, those with digits
+    are ``<*>``.  Regular expressions run only on lines that need them."""
+    lines = keyed.select("sha", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    lines = _once(lines, F.btrim("raw", F.lit(" \t\n\x0b\f\r")), "own")
+    odd = F.contains("own", F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains("own", F.lit(c))
+    lines = _once(lines, F.when(odd, F.regexp_replace("own", rf"[{_BLANK}]+", " ")).otherwise(F.col("own")), "plain")
+    masked = F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("plain"))
+    lines = _once(lines, masked, "words").select("sha", "line", "words")
+    counted = _once(lines, F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1, "n").where(F.col("n") >= MIN_WORDS)
+    return counted.withColumn("runs", F.array(*[_run(F.col("words"), F.col("n"), F.lit(j)) for j in range(MAX_VARIABLE + 1)]))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """(sha, line, n, words, lo, hi) of the lines with a recurring run; lo and hi are the first and the last such run."""
-    often = cut(lines.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_DOCS).select("run"))
-    each = lines.select("sha", "line", "n", "words", F.posexplode("runs").alias("j", "run"))
+    often = cut(lines.select(F.explode("runs").alias("run")).where(F.col("run").isNotNull()).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_DOCS).select("run"))
+    each = lines.select("sha", "line", "n", "words", F.posexplode("runs").alias("j", "run")).where(F.col("run").isNotNull())
     n = often.count()
     if n <= BROADCAST_KEYS:
         hit = each.join(F.broadcast(often), "run", "left_semi")
@@ -82,8 +88,8 @@ def _candidates(lines: DataFrame) -> DataFrame:
 def _recurring(found: DataFrame) -> DataFrame:
     """(a, b) hashes of the lines of recurring templates; found: (sha, line, n, lo, hi, words, a, b)."""
     distinct = cut(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("words").alias("words")))
-    routes = distinct.select("a", "b", "c", "n", F.split("words", " ").alias("w"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("j")).withColumn("leaf", _run(F.col("w"), F.col("n"), F.col("j")))
-    places = routes.select("a", "b", "c", "n", "leaf", F.posexplode("w").alias("at", "word"))
+    routes = distinct.select("a", "b", "c", "n", "words", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("j")).withColumn("leaf", _run(F.col("words"), F.col("n"), F.col("j")))
+    places = routes.select("a", "b", "c", "n", "leaf", F.posexplode(F.split("words", " ")).alias("at", "word"))
     support = cut(places.groupBy("leaf", "at", "word").agg(F.sum("c").alias("s")).where(F.col("s") >= MIN_DOCS))
     ranked = places.join(_small(support), ["leaf", "at", "word"], "left").select("a", "b", "leaf", "n", F.struct((-F.coalesce("s", F.lit(0))).alias("s"), "at", "word").alias("p"))
     own = ranked.groupBy("a", "b", "leaf").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("p")).alias("p"))
