@@ -1,12 +1,15 @@
 """Content-addressed WARC archive.
 
 ``write_archive`` stores every distinct payload once under its SHA-256 (``payloads``) and the exact header block of every
-record separately (``headers``); ``read_archive`` parses the headers, verifies every stored payload against its
-digest and joins both; ``records`` rebuilds the original record bytes.  Records with equal payloads of at least
-``MIN_REVISIT`` bytes: that of the smallest page id is the response, the others revisit it.
-
-Defined cases: null html is an empty payload; null urls give an empty target; a null page id comes last in its group;
-of repeated rows one is the response and the others revisit it; an empty table gives an empty archive.
+record separately (``headers``).  ``records`` rebuilds each record's bytes by joining both and verifies every stored payload
+against its digest; ``read_archive`` reads pages back from the rebuilt records.  Records with equal payloads of at least
+``MIN_REVISIT`` bytes: that of the smallest page id is the response, the others revisit it.  Payloads that a filter of all
+digests proves unique are stored as they come; only those that may repeat are shuffled to be stored once.
+
+Defined cases: null html is an empty payload; null urls give an empty target, and line breaks in urls are percent-encoded; a
+null page id has no X-Page-ID field, reads back as null and comes last in its group; of repeated rows one is the response and
+the others revisit it; every record has an id of its own, whatever the page ids; ids are read back as ``page_type``; very
+long pages are one record each; an empty table gives an empty archive; extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -16,35 +19,46 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import cut, shared_dir, smallest_of_group, table
+from kvlog.llm import exact_dedup as exact
+from kvlog.llm.common import SALTS, cut, shared_dir, smallest_of_group, table
 
 MIN_REVISIT = 100
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The pages table has no crawl time; a caller that has one gives it.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
 
 
-def _header() -> Column:
+def _record_id(page_id: Column, row: Column) -> Column:
+    h = F.md5(F.concat_ws("#", row.cast("string"), page_id.cast("string")))
+    return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-" if a > 1 else ""), F.substring(h, a, n))], F.lit(">"))
+
+
+def _header(date: str) -> Column:
     """The header block of one record, up to and with the empty line."""
     revisit = F.col("kind") == "revisit"
+    page = lambda name, value: F.coalesce(_line(name, F.url_encode(value.cast("string"))), F.lit(""))
+    refers = F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _record_id(F.col("first.page_id"), F.col("first.row"))), page("X-Refers-To-Page-ID", F.col("first.page_id")))
     return F.concat(
         F.lit("WARC/1.1" + EOL),
         _line("WARC-Type", F.col("kind")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:kvlog:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        _line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        _line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
+        _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("_row"))),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", F.concat(F.lit("<urn:kvlog:page:"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.lit(">"))))).otherwise(""),
+        F.when(revisit, refers).otherwise(""),
+        page("X-Page-ID", F.col("page_id")),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
         F.lit(EOL),
     )
 
 
-def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> None:
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("_row"))
     narrow = cut(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), "_row"))
@@ -53,45 +67,58 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     judged = smallest_of_group(narrow, "digest", order)
     first = F.col("first.row") == F.col("_row")
     kind = F.when((F.col("bytes") < MIN_REVISIT) | first, "response").otherwise("revisit")
-    headed = judged.select("page_id", "url", "digest", "bytes", kind.alias("kind"), F.col("first.page_id").alias("first_id"))
-    headed.select(_header().alias("header"), "digest").write.parquet(f"{path}/headers")
-    # Each payload once: map-side aggregation drops copies before the shuffle.
-    rows.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    judged.withColumn("kind", kind).select(_header(date).alias("header"), "digest").write.parquet(f"{path}/headers")
+    # Each payload once: unique ones aren't shuffled, and map-side aggregation drops copies of the others before the shuffle.
+    tested = exact.Filter(narrow, "digest").test(rows.select(F.sha2("payload", 256).alias("digest"), "payload"), "digest")
+    unique = tested.where(~F.col("_maybe")).select("digest", "payload")
+    unique.unionByName(tested.where("_maybe").select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{path}/payloads")
 
 
-def _field(name: str) -> Column:
-    return F.regexp_extract("header", f"\n{name}: ([^\r]*)\r", 1)
+def _field(name: str, header: str = "header") -> Column:
+    """A header field's value; null where the header has no such field."""
+    at = F.instr(header, f"\n{name}: ")
+    return F.when(at > 0, F.regexp_extract(header, f"\n{name}: ([^\r]*)\r", 1))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest, payload_bytes; raises where a stored payload fails its digest."""
-    headers = spark.read.parquet(f"{path}/headers")
-    number = r"^<urn:kvlog:page:(-?[0-9]*)>$"
-    parsed = headers.select(
-        F.regexp_extract(_field("WARC-Record-ID"), number, 1).try_cast("long").alias("page_id"),
-        _field("WARC-Type").alias("record_type"),
-        F.regexp_extract(_field("WARC-Refers-To"), number, 1).try_cast("long").alias("refers_to"),
-        F.regexp_extract(_field("WARC-Payload-Digest"), "^sha256:([0-9a-f]{64})$", 1).alias("payload_digest"),
-    )
-    stored = spark.read.parquet(f"{path}/payloads")
-    good = F.sha2("payload", 256)
-    sizes = stored.select(
-        F.when(good == F.col("digest"), good).otherwise(F.raise_error(F.concat(F.lit("payload fails its digest: "), F.col("digest")))).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-    )
-    # A hot payload's records are dealt over salts; each stored size goes to the salts that have records of it.
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int")
-    dealt = parsed.withColumn("_salt", salt)
-    wanted = dealt.select("payload_digest", "_salt").distinct()
-    return dealt.join(wanted.join(sizes, "payload_digest"), ["payload_digest", "_salt"]).drop("_salt")
+def _stored(payload: Column, digest: Column) -> Column:
+    return F.when(F.sha2(payload, 256) == digest, payload).otherwise(F.raise_error(F.concat(F.lit("payload fails its digest: "), digest)))
+
+
+def _present(value: Column) -> Column:
+    return F.coalesce(value, F.raise_error(F.concat(F.lit("no stored payload: "), F.col("digest"))))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page header and exact record bytes: header block, payload (none for a revisit), two line ends."""
-    headers = spark.read.parquet(f"{path}/headers")
-    joined = headers.join(spark.read.parquet(f"{path}/payloads"), "digest")
-    body = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("header", F.concat(F.encode("header", "UTF-8"), body, F.lit((EOL * 2).encode())).alias("record"), "payload")
+    """header, record (exact bytes: header block, payload unless a revisit, two line ends), payload_bytes, payload_digest.
+
+    Raises where a stored payload fails its digest or is missing.
+    """
+    headers = spark.read.parquet(f"{path}/headers").withColumn("kind", _field("WARC-Type"))
+    payloads = spark.read.parquet(f"{path}/payloads")
+    checked = payloads.select("digest", _stored(F.col("payload"), F.col("digest")).alias("payload"))
+    responses = headers.where(F.col("kind") == "response").withColumn("large", _field("Content-Length").cast("long") >= MIN_REVISIT)
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int"))
+    # a large payload has one response; small ones, and what the revisits need, may have any number and go to salts
+    large = responses.where("large").join(checked.where(F.octet_length("payload") >= MIN_REVISIT), "digest", "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
+    small = salted(responses.where(~F.col("large")))
+    small_payloads = small.select("digest", "salt").distinct().join(checked.where(F.octet_length("payload") < MIN_REVISIT), "digest")
+    small = small.join(small_payloads, ["digest", "salt"], "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
+    end = F.lit((EOL * 2).encode())
+    whole = large.unionByName(small).select("header", F.concat(F.encode("header", "UTF-8"), "payload", end).alias("record"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    revisits = salted(headers.where(F.col("kind") == "revisit"))
+    sizes = checked.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    sizes = revisits.select("digest", "salt").distinct().join(sizes, "digest")
+    rest = revisits.join(sizes, ["digest", "salt"], "left").select("header", F.concat(F.encode("header", "UTF-8"), end).alias("record"), _present(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest")
+    return whole.unionByName(rest)
+
+
+def read_archive(spark: SparkSession, path: str, page_type: str = "long") -> DataFrame:
+    """page_id, record_type, refers_to, payload_digest, payload_bytes of the rebuilt records."""
+    rebuilt = records(spark, path)
+    head = F.substring_index(F.col("record").cast("string"), EOL * 2, 1)
+    parsed = rebuilt.select(F.concat(head, F.lit(EOL)).alias("head"), "payload_digest", "payload_bytes")
+    own = lambda name: F.url_decode(_field(name, "head")).cast(page_type)
+    return parsed.select(own("X-Page-ID").alias("page_id"), _field("WARC-Type", "head").alias("record_type"), own("X-Refers-To-Page-ID").alias("refers_to"), "payload_digest", "payload_bytes")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
