@@ -5,12 +5,14 @@ Documents keep their order inside a task's share of the input.  Cuts may fall at
 cuts minimise padding plus these truncation penalties: with ``key[i] = cost[i] + position[i]`` the best start of a
 window that ends at candidate j is the least key within ``length`` tokens, held by a monotone queue, so a block of m
 candidates takes O(m).  After each block all windows but the last are emitted and the last one is carried on, so memory
-is bounded by a block and the longest text.  At the end of a share the last window is split into powers of two, which
-need no padding.
+is bounded by a block and the longest text.  The last windows of SHARES tasks' shares are put in order and packed again as
+one stream.  Its end is part of the search: it is padded, or cut into windows whose lengths are powers of two, which need no
+padding, each cut at its penalty, whichever is cheaper.
 
 Tokens: a text is cut at space, line feed and tab, which the tokenizer drops; each distinct piece is encoded once and
 kept in a bounded cache.  Defined cases: null and empty texts are the end token alone; null ids pass through; repeated rows
-are packed once each; an empty table gives no pieces.
+are packed once each; an empty table gives no pieces; a text that is longer than a block is held whole while it is packed; ids
+must be numbers (they are returned as long); extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlog.llm.bytegrams import lean
-from kvlog.llm.common import ship, table
+from kvlog.llm.common import ship, stored, table
 
 LENGTH = 4096
 END_ID = 2
 SENTENCE_CUT, FREE_CUT, FREE_STEP = 8, 16, 32
 BLOCK_TOKENS = 1 << 19
 CACHE_PIECES = 150_000
+#: The ends of so many shares are packed together (at most LENGTH tokens each).
+SHARES = 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,6 +121,26 @@ def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
     return out[::-1]
 
 
+def tail(tokens: int, length: int, penalty) -> list[int]:
+    """Lengths of the windows of a stream's end of at most ``length`` tokens: powers of two, then a padded rest if any.
+
+    penalty(n) is that of a cut after n of the tokens; the cheapest number of powers is taken.
+    """
+    best, cost, taken, at = [tokens], length - tokens, [], 0
+    if tokens & (tokens - 1) == 0:
+        return best
+    spent = 0
+    while at < tokens:
+        taken.append(1 << (tokens - at).bit_length() - 1)
+        at += taken[-1]
+        left = tokens - at
+        spent += penalty(at) if left else 0
+        now = spent + (length - left if left and left & (left - 1) else 0)
+        if now < cost:
+            best, cost = [*taken, *([left] if left else [])], now
+    return best
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -144,40 +168,39 @@ class Packer:
             self.positions.append(where)
             self.penalties.append(penalty)
 
-    def add(self, doc_id, ids: bytes) -> None:
+    def add(self, doc_id, ids: bytes, start: int = 0, total: int | None = None) -> None:
+        """A document's tokens from ``start`` on to its end."""
         n = len(ids) // 4
         inner = (np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 1 + self.at).tolist()
         for x in inner:
             if x < self.at + n - 1:
                 self._candidate(x, SENTENCE_CUT)
         self._candidate(self.at + n, 0)
-        self.docs.append((doc_id, ids, n, self.at))
+        self.docs.append((doc_id, ids, n, self.at, start, total or n))
         self.at += n
         if self.at - self.done >= BLOCK_TOKENS:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
+        """Emits all windows but the last; that one too if ``last``."""
         if self.at == self.done:
             return
         ends = cuts(self.positions, self.penalties, self.length)
+        end = ends.pop()
         if last:
-            tail_from = ends[-2] if len(ends) > 1 else self.done
-            left = ends.pop() - tail_from
-            while left:
-                part = min(self.length, 1 << (left.bit_length() - 1))
-                tail_from += part
-                left -= part
-                ends.append(tail_from)
-        else:
-            ends.pop()
+            at = ends[-1] if ends else self.done
+            known = dict(zip(self.positions, self.penalties, strict=True))
+            for n in tail(end - at, self.length, lambda n, at=at: known.get(at + n, FREE_CUT)):
+                at += n
+                ends.append(at)
         k, begin = 0, self.done
         for end in ends:
             at = begin
             while at < end:
-                doc_id, ids, n, place = self.docs[k]
+                doc_id, ids, n, place, start, total = self.docs[k]
                 stop = min(end, place + n)
                 piece = memoryview(ids)[(at - place) * 4 : (stop - place) * 4]
-                self.rows.append((doc_id, at - place, stop - at, zlib.crc32(piece), n, self.sequence, at - begin))
+                self.rows.append((doc_id, start + at - place, stop - at, zlib.crc32(piece), total, self.sequence, at - begin))
                 at = stop
                 if stop == place + n:
                     k += 1
@@ -188,6 +211,15 @@ class Packer:
         keep = np.searchsorted(self.positions, begin)
         self.positions, self.penalties = self.positions[keep:], self.penalties[keep:]
 
+    def rest(self) -> list[tuple]:
+        """(doc_id, ids, start, total) of what isn't emitted."""
+        out = []
+        for doc_id, ids, n, place, start, total in self.docs:
+            skip = max(self.done - place, 0)
+            if skip < n:
+                out.append((doc_id, ids[skip * 4 :], start + skip, total))
+        return out
+
     def take(self) -> list[tuple]:
         out, self.rows = self.rows, []
         return out
@@ -201,24 +233,49 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: in
     """One row per piece of a document; see the module's text."""
     ship(docs.sparkSession)
     path = path or tokenizer_path()
-    schema = pa.schema([("doc_id", pa.int64())] + [(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")[1:]])
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+    first = pa.schema([*schema, ("share", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        share = TaskContext.get().partitionId()
         own = encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        packer = Packer(own.ends, length, TaskContext.get().partitionId() << 40)
+        packer = Packer(own.ends, length, share << 40)
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(i.as_py(), own.encode(t.as_py() or "") + end)
+            if packer.rows:
+                yield _to_batch([(*r, None, None, None) for r in packer.take()], first)
+        packer.flush(False)
+        rows = [(*r, None, None, None) for r in packer.take()]
+        rows += [(i, start, len(ids) // 4, None, total, None, None, share, k, ids) for k, (i, ids, start, total) in enumerate(packer.rest())]
+        if rows:
+            yield _to_batch(rows, first)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, packer, current = encoder(path), None, None
+        for batch in batches:
+            for i, start, total, share, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "share", "ids")), strict=True):
+                if share // SHARES != current:
+                    if packer:
+                        packer.flush(True)
+                        yield _to_batch(packer.take(), schema)
+                    current = share // SHARES
+                    packer = Packer(own.ends, length, (1 << 62) + (current << 40))
+                packer.add(i, ids, start, total)
+            if packer and packer.rows:
+                yield _to_batch(packer.take(), schema)
+        if packer:
+            packer.flush(True)
             if packer.rows:
                 yield _to_batch(packer.take(), schema)
-        packer.flush(True)
-        if packer.rows:
-            yield _to_batch(packer.take(), schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)
+    wide = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA + ", share long, place long, ids binary")
+    wide = stored(wide, "pieces")
+    ends = wide.where(F.col("ids").isNotNull()).repartition(F.floor(F.col("share") / SHARES)).sortWithinPartitions("share", "place")
+    return wide.where(F.col("ids").isNull()).select(*schema.names).unionByName(ends.mapInArrow(lean(finish), SCHEMA))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
