@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,19 +44,6 @@ def groups(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]
         begin = end
 
 
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """_P to the powers 0, 1, ... and their inverses modulo 2**64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
-            x = np.full(n, np.uint64(base))
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS
-
-
 # Arrow's own pools hold on to freed memory; workers that idle between stages should not
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -74,7 +63,6 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _POWERS[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
             give_back()
 
     return go
@@ -106,11 +94,21 @@ class Texts:
         self.first = np.searchsorted(self.begin, self.starts)
 
     def word_hashes(self) -> np.ndarray:
-        """One 64-bit hash a word, the same wherever the word stands: a polynomial of its bytes from prefix sums."""
-        up, down = _powers(len(self.buf))
-        run = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=run[1:])
-        return mix((run[self.end] - run[self.begin]) * down[self.begin])
+        """One 64-bit hash a word, the same wherever the word stands: its bytes are mixed in eight at a time."""
+        eight = np.ndarray(len(self.buf) - 7, dtype="<u8", buffer=self.buf, strides=(1,))
+        left = self.end - self.begin
+        out = mix(left.astype(np.uint64) * _P)
+        at, which = self.begin, None  # None: all words
+        while len(at):
+            part = eight[at] & _LOW[np.minimum(left, 8)]
+            if which is None:
+                out = mix((out ^ part) * _P)
+            else:
+                out[which] = mix((out[which] ^ part) * _P)
+            more = np.flatnonzero(left > 8)
+            which = more if which is None else which[more]
+            at, left = at[more] + 8, left[more] - 8
+        return out
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of the n-byte grams whose inner bytes are no white space; white space counts as one character."""

@@ -5,11 +5,13 @@
    enough share one (prefix filter, any order is exact).  The order puts shingles that many documents share last, by
    heavy-hitter counts that every task gathers over all its documents; so a common passage makes no large groups.
 3. Within a key documents are ordered by set size.  Each (key, size band) links to the two documents with the most shared keys, each
-   band to the one before, and in further rounds components that still share a key; these few pairs are verified.
+   band to the one before, and in further rounds components that still share a key; these few pairs are verified.  Keys that
+   the counts show to be hot are dealt out in parts first, which the rounds join again.
 4. Keys whose documents lie in several components become tiles: size-ordered blocks of hashed bitmap signatures.  For sets A,
    B the bits of A's signature that B's lacks prove as many elements outside the intersection, so bit counts bound
    the overlap from above.  Pairs in different components that pass are verified by intersecting the sorted arrays.
-   Pairs already connected need no test, so large groups of near copies never expand into all pairs.
+   Pairs already connected need no test, so large groups of near copies never expand into all pairs.  A tile of many
+   documents is split into chunks, and each two chunks meet in one task.
 
 Defined cases: null, empty and blank texts have no shingles and no links; rows with equal ids are one document; null ids
 get a null component; an empty table gives an empty result; other columns don't matter.
@@ -35,6 +37,8 @@ COMMON_DF, MAX_COMMON = 8, 1 << 18
 #: Reported from a block of BLOCK_SHINGLES when so many of its texts have the shingle.
 LOCAL_DF = 2
 BLOCK_SHINGLES = 1 << 21
+#: A key of at least so many documents is dealt out in parts of about HOT_ROWS / 2, a tile in chunks, a star in shares.
+HOT_ROWS, TILE_ROWS, STAR_ROWS = 1024, 4096, 256
 #: Rounds of links between components before the tiles; more only save work.
 ROUNDS = 2
 
@@ -121,18 +125,29 @@ def _with_digest(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "id long, text string, _sha binary")
 
 
-def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n): the first shingles of every document in the global order."""
-    hashes, ranks = common
+def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, part, id, n): the first shingles of every document in the global order; part is over 0 for hot keys alone."""
+    hashes, ranks, counts = common
+    hot = hashes[counts >= HOT_ROWS]
+    parts = (2 * counts[counts >= HOT_ROWS] // HOT_ROWS).astype(np.uint64)
+
+    def part_of(one: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(len(one), dtype=np.int32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, one), len(hot) - 1)
+            hit = hot[at] == one
+            out[hit] = 1 + (mix(np.array([i], dtype=np.int64).view(np.uint64)) % parts[at[hit]]).astype(np.int32)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, who, ns = [], [], []
+            keys, dealt, who, ns = [], [], [], []
             held = 0
 
             def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(who, dtype=np.int64), list(map(len, keys)))), pa.array(np.repeat(np.array(ns, dtype=np.int64), list(map(len, keys))))], names=["key", "id", "n"])
+                each = list(map(len, keys))
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(dealt)), pa.array(np.repeat(np.array(who, dtype=np.int64), each)), pa.array(np.repeat(np.array(ns, dtype=np.int64), each))], names=["key", "part", "id", "n"])
 
             for i, (_, one) in enumerate(_sets(batch, 1)):
                 n = len(one)
@@ -150,16 +165,17 @@ def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                             rare = np.concatenate([rare, rest[: take - len(rare)]])
                         one = rare
                 keys.append(one[:take])
+                dealt.append(part_of(one[:take], int(ids[i])))
                 who.append(int(ids[i]))
                 ns.append(n)
                 held += take
                 if held > 200_000:
                     yield out()
-                    keys, who, ns, held = [], [], [], 0
+                    keys, dealt, who, ns, held = [], [], [], [], 0
             if keys:
                 yield out()
 
-    return docs.mapInArrow(lean(run), "key long, id long, n long")
+    return docs.mapInArrow(lean(run), "key long, part int, id long, n long")
 
 
 def _bits(n: int) -> int:
@@ -225,19 +241,22 @@ def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """The pairs (a, b) that link.  Each a's array comes first in its run of rows, then those of its partners, one at a time."""
-    left = pairs.select("a").distinct().join(arrays, F.col("a") == F.col("id")).select("a", F.lit(0).alias("k"), "id", "sig", "arr")
-    right = pairs.join(arrays, F.col("b") == F.col("id")).select("a", F.lit(1).alias("k"), "id", "sig", "arr")
+    # a star of many partners is dealt out in shares, each with its centre's array
+    shares = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / STAR_ROWS).alias("shares")).where(F.col("shares") > 0)
+    pairs = pairs.join(shares, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(0)) + 1).alias("share"))
+    left = pairs.select("a", "share").distinct().join(arrays, F.col("a") == F.col("id")).select("a", "share", F.lit(0).alias("k"), "id", "sig", "arr")
+    right = pairs.join(arrays, F.col("b") == F.col("id")).select("a", "share", F.lit(1).alias("k"), "id", "sig", "arr")
     n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = left.unionByName(right).repartition(n, "a").sortWithinPartitions("a", "k")
+    dealt = left.unionByName(right).repartition(n, "a", "share").sortWithinPartitions("a", "share", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray]] = []  # arrays of the current a: one, unless rows share an id
         current = None
         for batch in small(batches):
             out_a, out_b = [], []
-            for a, k, b, sig, arr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != current:
-                    current, own = a, []
+            for a, share, k, b, sig, arr in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, share) != current:
+                    current, own = (a, share), []
                 one, s = np.frombuffer(arr, dtype=np.uint64), np.frombuffer(sig, dtype=np.uint64)
                 if k == 0:
                     own.append((one, s))
@@ -260,12 +279,17 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 def _tiles(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a key and pass the bound; rows: key, n, id, component, sig."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.select("key", "n", "id", "component", "sig").repartition(n, "key").sortWithinPartitions("key", "n", "id")
+    # a large tile: each document is of one chunk and goes to the tile of every two chunks that has its own
+    chunks = rows.groupBy("key").agg(F.floor(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("more")).where(F.col("more") > 0)
+    split = rows.join(chunks, "key", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "id", "component", "sig", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("lane"))
+    dealt = split.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
         sent: set[tuple[int, int]] = set()  # a pair shares many keys; once a task is enough (a bounded memory of it)
-        tile: list[tuple[int, int, int, np.ndarray]] = []
+        tile: list[tuple[int, int, int, np.ndarray, int]] = []
         blocks: dict[int, tuple] = {}
 
         def block(lo: int, width: int) -> tuple:
@@ -273,13 +297,13 @@ def _tiles(rows: DataFrame) -> DataFrame:
             got = blocks.get(width)
             if got is None or got[0] < len(tile):
                 part = [r for r in tile if len(r[3]) == width]
-                got = (len(tile), np.array([r[0] for r in part]), np.array([r[1] for r in part]), np.array([r[2] for r in part]), np.array([r[3] for r in part]))
+                got = (len(tile), np.array([r[0] for r in part]), np.array([r[1] for r in part]), np.array([r[2] for r in part]), np.array([r[3] for r in part]), np.array([r[4] for r in part]))
                 blocks[width] = got
             return got
 
         for batch in small(batches):
             out_a, out_b = [], []
-            waiting: list[tuple[int, int, int, np.ndarray]] = []
+            waiting: list[tuple[int, int, int, np.ndarray, int]] = []
 
             def settle() -> None:
                 """Tests the waiting rows of one key against the tile and each other."""
@@ -290,10 +314,10 @@ def _tiles(rows: DataFrame) -> DataFrame:
                 tile = [r for r in tile if r[0] >= least] + waiting
                 blocks.clear()
                 if len({r[2] for r in tile}) > 1:
-                    for size, i, c, s in waiting:
+                    for size, i, c, s, lane in waiting:
                         for width in {len(r[3]) for r in tile}:
-                            _, ns, ids, cs, sigs = block(0, width)
-                            ok = (cs != c) & (5 * ns >= 4 * size) & ((ns < size) | ((ns == size) & (ids < i)))
+                            _, ns, ids, cs, sigs, lanes = block(0, width)
+                            ok = (cs != c) & ((lanes != lane) | (lane < 0)) & (5 * ns >= 4 * size) & ((ns < size) | ((ns == size) & (ids < i)))
                             if ok.any():
                                 at = np.flatnonzero(ok)
                                 hit = at[may_link(size, s, ns[at], sigs[at])]
@@ -307,11 +331,11 @@ def _tiles(rows: DataFrame) -> DataFrame:
                     sent.clear()
                 waiting.clear()
 
-            for k, size, i, c, sig in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if k != key:
+            for k, lo, hi, size, i, c, sig, lane in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (k, lo, hi) != key:
                     settle()
-                    key, tile = k, []
-                waiting.append((size, i, c, np.frombuffer(sig, dtype=np.uint64)))
+                    key, tile = (k, lo, hi), []
+                waiting.append((size, i, c, np.frombuffer(sig, dtype=np.uint64), lane))
                 if len(waiting) >= 1024:
                     settle()
             settle()
@@ -388,16 +412,17 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     hot = survey.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("df").alias("df")).where(F.col("df") >= COMMON_DF).orderBy(F.desc("df"), "hash").limit(MAX_COMMON).toArrow()
     hashes = hot.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     ranks = np.arange(len(hashes), 0, -1, dtype=np.int32)  # the commonest last
+    counts = hot.column("df").to_numpy()
     order = np.argsort(hashes)
     forget(survey)
     del hot
     give_back()
-    keyed = _keyed(_distinct(named_docs, verdicts), (hashes[order], ranks[order]))
+    keyed = _keyed(_distinct(named_docs, verdicts), (hashes[order], ranks[order], counts[order]))
 
-    by_key = Window.partitionBy("key").orderBy("n", "id")
+    by_key = Window.partitionBy("key", "part").orderBy("n", "id")
     fits = (5 * F.col("pn") >= 4 * F.col("n")) | (5 * F.col("n") >= 4 * F.col("nn"))
-    seen = keyed.withColumns({"pid": F.lag("id").over(by_key), "pn": F.lag("n").over(by_key), "nn": F.lead("n").over(by_key)}).where(F.coalesce(fits, F.lit(False)))
-    shared = stored(seen.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))).select("key", "id", "n", "band", "pid", "pn"), "shared")
+    seen = keyed.withColumns({"pid": F.lag("id").over(by_key), "pn": F.lag("n").over(by_key), "nn": F.lead("n").over(by_key)}).where((F.col("part") > 0) | F.coalesce(fits, F.lit(False)))
+    shared = stored(seen.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))).select("key", "part", "id", "n", "band", "pid", "pn"), "shared")
     sigs = stored(_with_arrays(_only(named_docs, shared.select("id")), False), "signatures")
 
     # first links: every (key, band) to its two documents with the most shared keys (the text that near copies were
@@ -405,7 +430,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     wide = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares"))
     seen, shared = shared, stored(shared.join(wide, "id"), "shared")
     forget(seen)
-    in_band = Window.partitionBy("key", "band").orderBy(F.desc("shares"), "n", "id")
+    in_band = Window.partitionBy("key", "part", "band").orderBy(F.desc("shares"), "n", "id")
     star = shared.withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
     below = F.when((F.floor(F.log("pn") / F.log(F.lit(1.25))) < F.col("band")) & (5 * F.col("pn") >= 4 * F.col("n")), F.col("pid"))
     pairs = star.select(F.explode(F.array("c", "c2", below)).alias("x"), F.col("id").alias("y"))
