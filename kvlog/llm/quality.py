@@ -1,11 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
 Words and character n-grams are hashed to vectors, averaged over the whole text and classified by a softmax layer; all
-of it is learned by numpy stochastic gradient descent from at most ``SAMPLE`` labelled rows of each class.  A trained
-model is linear in the average, so scoring needs one number a bucket: the table goes out with the tasks (512 KiB).
+of it is learned by numpy stochastic gradient descent from at most ``SAMPLE`` labelled ids of each class (sampling.py
+has the bound in bytes).  A word that repeats the one before it also counts as the pseudo-word REPEAT, as runs of one word
+are otherwise like any text of that word.  A trained model is linear in the average, so scoring needs one number a bucket:
+the table goes out with the tasks (256 KiB).
 
 Defined cases: null and empty texts score the model's bias; without rows of both classes every score is the share of
-label 1 (0.5 without labels); null labels are never learned from; extra columns stay.
+label 1, kept within 0.01 to 0.99 (0.5 without labels); null labels are never learned from; repeated rows score alike; an
+empty table gives no scores; other columns stay, and one that has the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ def _features(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(texts: list[bytes], labels: list[int], shares: list[float], seed: int = 7) -> dict:
     """Table of one number a bucket and a bias: P(1) = 1 / (1 + exp(-(mean over features + bias)))."""
     if len(set(labels)) < 2:
-        p = min(max(shares[1], 0.01), 0.99) if shares[1] != 0.5 else 0.5
+        p = min(max(shares[1], 0.01), 0.99)
         return {"table": np.zeros(1 << BUCKETS_LOG2, dtype=np.float32), "bias": float(np.log(p / (1 - p)))}
     rows = []
     for at in range(0, len(texts), 64):
@@ -96,6 +99,7 @@ def score(texts: pa.Array, model: dict) -> np.ndarray:
 def with_scores(docs: DataFrame, scorer, column: str, text: str = "text") -> DataFrame:
     """All columns of docs, then the double ``column``: scorer(Arrow array of texts) of each row."""
     ship(docs.sparkSession)
+    docs = docs.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns if c != column])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

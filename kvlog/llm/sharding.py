@@ -6,7 +6,9 @@ two integers, about 1 MB), so it can always be broadcast; a row is placed by one
 Removing a shard moves its own rows and few others.
 
 Defined cases: a null key is placed as the empty text; equal keys go to one shard whatever their number (each row costs
-one lookup, nothing is shuffled); an empty table stays empty; with ``weights`` a shard takes that many turns a round.
+one lookup, nothing is shuffled); an empty table stays empty; with ``weights`` a shard takes that many turns a round, none
+with 0, and at least one must take some; other columns stay, whatever their names, but an input column that has the name
+of the result's is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import table
+from kvlog.llm.common import packed, table
 
 SLOTS = 65537
 SHARDS = 64
@@ -28,6 +30,9 @@ def fill(shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None =
         raise ValueError("at least one shard, and no fewer slots than shards")
     if any(slots % p == 0 for p in range(2, int(slots**0.5) + 1)):
         raise ValueError("the number of slots must be prime")
+    turns = [(weights or {}).get(name, 1) for name in shards]
+    if min(turns) < 0 or not any(turns):
+        raise ValueError("weights are 0 or more, and one at least is more")
     at, skip = [], []
     for name in shards:
         h = hashlib.sha256(name.encode()).digest()
@@ -35,8 +40,8 @@ def fill(shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None =
         skip.append(int.from_bytes(h[8:16], "big") % (slots - 1) + 1)
     owner, free = [-1] * slots, slots
     while True:
-        for i, name in enumerate(shards):
-            for _ in range((weights or {}).get(name, 1)):
+        for i, n in enumerate(turns):
+            for _ in range(n):
                 while owner[at[i]] >= 0:
                     at[i] = (at[i] + skip[i]) % slots
                 owner[at[i]] = i
@@ -57,8 +62,9 @@ def lookup(spark: SparkSession, owner: list[int]) -> DataFrame:
 
 def shard(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None = None, column: str = "shard") -> DataFrame:
     """rows with the index of their shard in ``column``."""
-    places = lookup(rows.sparkSession, fill(shards, slots, weights)).select(F.col("slot").alias("_kv_slot"), F.col("shard").alias(column))
-    return rows.withColumn("_kv_slot", slot_of(F.col(key), slots)).join(F.broadcast(places), "_kv_slot").drop("_kv_slot")
+    places = lookup(rows.sparkSession, fill(shards, slots, weights))
+    placed = packed(rows).withColumn("slot", slot_of(F.col("row").getField(key), slots)).join(F.broadcast(places), "slot")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in rows.columns if c != column], F.col("shard").alias(column))
 
 
 def names(n: int = SHARDS) -> list[str]:

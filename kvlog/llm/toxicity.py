@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a hashed n-gram (lower-cased A-Z, white space as one character, so word ends count) in the
-text, its value the smoothed log ratio of the n-gram's shares among toxic and other texts.  N-grams that occur in few
-sampled texts or don't separate the classes are left out; the rest get weights by L2-regularised logistic regression.
-Learned from at most ``SAMPLE`` labelled rows of each class; the weights (a table of 2**BUCKETS_LOG2 numbers, 8 MiB)
-go out with the tasks once per executor.
-
-Defined cases: null and empty texts score the bias; without rows of both classes every score is label 1's share (0.5
-without labels); null labels are never learned from.
+text, its value the smoothed log ratio of the n-gram's shares among toxic and other texts.  N-grams of fewer than
+MIN_TEXTS sampled texts, or whose ratio is under MIN_Z standard errors, are left out; all others (at most 2**BUCKETS_LOG2)
+get weights by L2-regularised logistic regression.  Learned from at most ``SAMPLE`` labelled ids of each class
+(sampling.py has the bound in bytes); the weights go out with the tasks, and a task's lookup table holds 4 MiB.
+
+Defined cases: null and empty texts score the bias; without rows of both classes every score is label 1's share, kept
+within 0.01 to 0.99 (0.5 without labels); null labels are never learned from; repeated rows score alike; an empty table
+gives no scores; other columns stay (``with_scores``), and one that has the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from kvlog.llm.sampling import held_out, labelled_sample
 SAMPLE = 2500
 BUCKETS_LOG2 = 20
 GRAMS = (4, 5, 6)
-FEATURES, MIN_TEXTS, MIN_Z = 4096, 4, 3.0
+MIN_TEXTS, MIN_Z = 4, 3.0
 THRESHOLD = 0.5
 L2, STEPS = 1.0, 200
 
@@ -59,7 +60,6 @@ def train(texts: list[bytes], labels: list[int], shares: list[float]) -> dict:
     both = counts.sum(0)
     z = np.abs(ratio) / np.sqrt((1 / (counts + 0.5)).sum(0))
     chosen = np.flatnonzero((both >= MIN_TEXTS) & (z >= MIN_Z))
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:FEATURES]])
     col = np.full(1 << BUCKETS_LOG2, -1, dtype=np.int32)
     col[chosen] = np.arange(len(chosen))
     row_of, col_of = [], []
@@ -86,7 +86,7 @@ def train(texts: list[bytes], labels: list[int], shares: list[float]) -> dict:
 
 
 def score(texts: pa.Array, model: dict) -> np.ndarray:
-    col = np.full(1 << BUCKETS_LOG2, -1, dtype=np.int16)
+    col = np.full(1 << BUCKETS_LOG2, -1, dtype=np.int32)
     col[model["ids"]] = np.arange(len(model["ids"]))
     weights, k = model["weights"], max(1, len(model["ids"]))
     out = np.full(len(texts), model["bias"])
