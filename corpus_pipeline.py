@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import cut, stored, table
+from kvlog.llm.common import cut, forget, stored, table
+from kvlog.llm.common import packed as as_struct
 from kvlog.llm.decontaminate import decontaminate
 from kvlog.llm.exact_dedup import exact_dedup, masks_of, marked
 from kvlog.llm.jaccard import links
@@ -17,13 +18,17 @@ from kvlog.llm.packing import pack
 from kvlog.llm.quality import THRESHOLD, quality_model, score, with_scores
 
 
-def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in lost (doc_id): a bounded bitmap lets nearly all others pass without a shuffle."""
-    lost = cut(lost.select(F.col("doc_id").cast("string").alias("_kv_key")).distinct())
-    masks, log_words = masks_of(lost, lost.count(), "_kv_key")
-    tested = marked(docs.withColumn("_kv_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), cut(masks), log_words, "_kv_key")
-    stay = tested.where(~F.col("_maybe")).unionByName(tested.where("_maybe").join(lost, "_kv_key", "left_anti"))
-    return stay.select(*docs.columns)
+def _key():
+    """A row's own key: rows of equal id and text are alike in every stage."""
+    return F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
+
+
+def _without(rows: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """The rows (row, key) whose key isn't in lost: a bounded bitmap lets nearly all others pass without a shuffle."""
+    lost = cut(lost.select(key).distinct())
+    masks, log_bits = masks_of(lost, lost.count(), key)
+    tested = marked(rows, cut(masks), log_bits, key)
+    return tested.where(~F.col("_maybe")).select("row").unionByName(tested.where("_maybe").join(lost, key, "left_anti").select("row")).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +42,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every linked group the smallest doc_id stays."""
-    found = links(docs)
-    return _without(docs, found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")))
+    """Of every linked group the row with the smallest doc_id stays (null ids last); rows are numbered, so that neither null nor repeated ids matter."""
+    numbered = stored(as_struct(docs).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = links(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("id").alias("number"), "component_id")
+    groups = found.where(F.col("number") != F.col("component_id")).select("component_id").distinct()
+    linked = cut(found.join(groups, "component_id", "left_semi").join(numbered.select("number", F.col("row.doc_id").alias("id")), "number"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "number"))["number"].alias("first"))
+    return _without(numbered, linked.join(first, "component_id").where(F.col("number") != F.col("first")), "number")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("id").alias("doc_id")))
+    """Rows that hold a benchmark window go."""
+    found = decontaminate(docs.select(_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), doc_id="key")
+    return _without(docs.select(F.struct(*docs.columns).alias("row"), _key().alias("key")), found.where("contaminated").select(F.col("id").alias("key")), "key")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +71,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
