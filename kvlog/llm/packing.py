@@ -17,9 +17,10 @@ must be numbers (they are returned as long); extra columns don't matter.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +101,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
-def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
-    """Ends of the cheapest windows from positions[0] to positions[-1]; neighbours are at most ``length`` apart."""
+def cuts(positions: list[int], penalties: list[int], length: int, last: Callable[[int], int] | None = None) -> list[int]:
+    """Ends of the cheapest windows from positions[0] to positions[-1]; neighbours are at most ``length`` apart.
+
+    last: the cost of the last window by its tokens, where it isn't padding."""
     m = len(positions)
     key, prev, queue, head = [positions[0]] + [0] * (m - 1), [0] * m, [0], 0
     for j in range(1, m):
@@ -114,6 +117,9 @@ def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
         while len(queue) > head and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
+    if last is not None and m > 1:
+        near = range(bisect.bisect_left(positions, positions[-1] - length), m - 1)
+        prev[-1] = min(near, key=lambda i: key[i] - positions[i] + last(positions[-1] - positions[i]))
     out, j = [], m - 1
     while j:
         out.append(positions[j])
@@ -121,14 +127,15 @@ def cuts(positions: list[int], penalties: list[int], length: int) -> list[int]:
     return out[::-1]
 
 
-def tail(tokens: int, length: int, penalty) -> list[int]:
-    """Lengths of the windows of a stream's end of at most ``length`` tokens: powers of two, then a padded rest if any.
+def tail(tokens: int, length: int, penalty: Callable[[int], int]) -> tuple[list[int], int]:
+    """Lengths of the windows of a stream's end of at most ``length`` tokens, powers of two and then a padded rest if any, and
+    their cost.
 
     penalty(n) is that of a cut after n of the tokens; the cheapest number of powers is taken.
     """
     best, cost, taken, at = [tokens], length - tokens, [], 0
     if tokens & (tokens - 1) == 0:
-        return best
+        return best, 0
     spent = 0
     while at < tokens:
         taken.append(1 << (tokens - at).bit_length() - 1)
@@ -138,7 +145,7 @@ def tail(tokens: int, length: int, penalty) -> list[int]:
         now = spent + (length - left if left and left & (left - 1) else 0)
         if now < cost:
             best, cost = [*taken, *([left] if left else [])], now
-    return best
+    return best, cost
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -182,17 +189,19 @@ class Packer:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
-        """Emits all windows but the last; that one too if ``last``."""
+        """Emits all windows but the last, which is carried on and costs nothing yet; that one too if ``last``."""
         if self.at == self.done:
             return
-        ends = cuts(self.positions, self.penalties, self.length)
-        end = ends.pop()
         if last:
-            at = ends[-1] if ends else self.done
             known = dict(zip(self.positions, self.penalties, strict=True))
-            for n in tail(end - at, self.length, lambda n, at=at: known.get(at + n, FREE_CUT)):
+            end = lambda n: tail(n, self.length, lambda i: known.get(self.at - n + i, FREE_CUT))
+            ends = cuts(self.positions, self.penalties, self.length, lambda n: end(n)[1])
+            at = ends[-2] if len(ends) > 1 else self.done
+            for n in end(ends.pop() - at)[0]:
                 at += n
                 ends.append(at)
+        else:
+            ends = cuts(self.positions, self.penalties, self.length, lambda n: 0)[:-1]
         k, begin = 0, self.done
         for end in ends:
             at = begin
