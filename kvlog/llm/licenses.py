@@ -7,8 +7,12 @@ template's words are compared place by place; then its label is added and its sh
 match holds all words of its key phrases, no match is missed, however many licences a text has; the IDF only changes speed.
 Base phrases are found wherever their words stand consecutively; a document with a base phrase scores 0.5 at least.
 
-Defined cases: null and empty texts have no words, labels '' and score 0; repeated rows are scanned one by one; words are
-compared by 64-bit hashes; an empty table stays empty.
+The templates are the notices' own sentences; the full licence texts that follow them in files hold these sentences or none
+of ours, so longer templates would add no labels.
+
+Defined cases: null and empty texts have no words, labels '' and score 0; repeated rows are scanned one by one; very long
+texts are scanned whole; words are compared by 64-bit hashes; ids are returned with their own type, null ids as null; an empty
+table stays empty; other columns aren't returned.
 """
 
 from __future__ import annotations
@@ -172,7 +176,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string")
 
 
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
