@@ -73,6 +73,7 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": lambda c: wrapped(F.
 def register(name: str, fold: Fold, aggregate: Callable[[Column], Column] | None = None) -> None:
     """A merge operator; aggregate: the same as a plain aggregate, for folds that are associative and commutative."""
     FOLDS[name] = fold
+    AGGREGATES.pop(name, None)
     if aggregate is not None:
         AGGREGATES[name] = aggregate
 
@@ -114,7 +115,10 @@ def _with_base(base: DataFrame, per: DataFrame, d: Log) -> DataFrame:
 
 
 def fold(log: DataFrame, d: Log, name: str, seq: int | None = None) -> DataFrame:
-    """The folded value of each key; keys with neither base nor operands are left out."""
+    """The folded value of each key; keys with neither base nor operands are left out.  Folds that are plain aggregates are
+    combined before the shuffle; others collect a key's operands above its newest base, in order."""
+    if name in AGGREGATES:
+        return fold_fast(log, d, name, seq)
     if seq is not None:
         log = log.where(F.col(d.seq) <= seq)
     if not d.op:

@@ -207,7 +207,7 @@ def _(spark, d):
 
 @query(
     "wide_collect_garbage",
-    """SELECT user_id, sum(CAST(event_type <> 'view' OR event_id + 100 >= 9000 AS INT)) AS columns FROM events
+    """SELECT user_id, sum(CAST(event_type <> 'view' OR event_id + 100 >= 9000 AS INT))::BIGINT AS columns FROM events
        WHERE NOT (event_type = 'error' AND event_id + 2000 < 9000) GROUP BY 1 HAVING sum(CAST(event_type <> 'view' OR event_id + 100 >= 9000 AS INT)) > 0""",
 )
 def _(spark, d):
