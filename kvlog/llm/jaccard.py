@@ -276,14 +276,15 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and pass the bound; rows: key, n, id, component, sig."""
+def _tiles(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and pass the bound; rows: key, n, id, component; sigs: id, sig."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # a large tile: each document is of one chunk and goes to the tile of every two chunks that has its own
     chunks = rows.groupBy("key").agg(F.floor(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("more")).where(F.col("more") > 0)
     split = rows.join(chunks, "key", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("more") + 1).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
-    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "id", "component", "sig", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("lane"))
+    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "id", "component", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("lane"))
+    split = split.join(sigs, "id").select("key", "lo", "hi", "n", "id", "component", "sig", "lane")
     dealt = split.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +392,15 @@ def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(several, "key").select("key", "n", "id", "shares", "component")
 
 
+def _hot_stars(rows: DataFrame) -> DataFrame:
+    """(x, y) as the windows over (key, band) would give them, by aggregates: no task gets all rows of a hot key."""
+    rank = F.struct("shares", (-F.col("n")).alias("n"), (-F.col("id")).alias("i"))
+    top = lambda df, name: df.groupBy("key", "band").agg((-F.max(rank)["i"]).alias(name))
+    one = rows.join(top(rows, "c"), ["key", "band"]).where(F.col("id") != F.col("c"))
+    two = one.join(top(one, "c2"), ["key", "band"])
+    return two.select(F.explode(F.array("c", "c2")).alias("x"), F.col("id").alias("y"))
+
+
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
     """Components (id, component) after more links: only the components that these join are worked on."""
     as_a = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -430,10 +440,10 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     wide = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shares"))
     seen, shared = shared, stored(shared.join(wide, "id"), "shared")
     forget(seen)
-    in_band = Window.partitionBy("key", "part", "band").orderBy(F.desc("shares"), "n", "id")
-    star = shared.withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
+    in_band = Window.partitionBy("key", "band").orderBy(F.desc("shares"), "n", "id")
+    star = shared.where("part = 0").withColumn("c", F.first("id").over(in_band)).withColumn("c2", F.nth_value("id", 2).over(in_band))
     below = F.when((F.floor(F.log("pn") / F.log(F.lit(1.25))) < F.col("band")) & (5 * F.col("pn") >= 4 * F.col("n")), F.col("pid"))
-    pairs = star.select(F.explode(F.array("c", "c2", below)).alias("x"), F.col("id").alias("y"))
+    pairs = star.select(F.explode(F.array("c", "c2", below)).alias("x"), F.col("id").alias("y")).unionByName(_hot_stars(shared.where("part > 0")))
     tested = cut(_possible(_ordered(pairs), sigs))
     parts = components(_checked(tested, named_docs))
     # more links between what is still apart, so that large groups become one component before tiles compare all
@@ -452,7 +462,9 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             break
         parts = _joined(parts, _checked(more, named_docs))
         tested = cut(tested.unionByName(more))
-    last = cut(_tiles(_open(shared, parts).join(sigs.select("id", "sig"), "id")).distinct().join(tested, ["a", "b"], "left_anti"))
+    closed, shared = shared, stored(_open(shared, parts), "open")
+    forget(closed)
+    last = cut(_tiles(shared, sigs.select("id", "sig")).distinct().join(tested, ["a", "b"], "left_anti"))
     forget(shared)
     forget(sigs)
     final = _joined(parts, _checked(last, named_docs))
