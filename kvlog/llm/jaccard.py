@@ -38,7 +38,7 @@ COMMON_DF, MAX_COMMON = 8, 1 << 18
 LOCAL_DF = 2
 BLOCK_SHINGLES = 1 << 21
 #: A key of at least so many documents is dealt out in parts of about HOT_ROWS / 2, a tile in chunks, a star in shares.
-HOT_ROWS, TILE_ROWS, STAR_ROWS = 1024, 4096, 256
+HOT_ROWS, TILE_ROWS, STAR_ROWS = 1024, 1024, 256
 #: Rounds of links between components before the tiles; more only save work.
 ROUNDS = 2
 
