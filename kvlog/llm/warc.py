@@ -71,7 +71,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     # Each payload once: unique ones aren't shuffled, and map-side aggregation drops copies of the others before the shuffle.
     tested = exact.Filter(narrow, "digest").test(rows.select(F.sha2("payload", 256).alias("digest"), "payload"), "digest")
     unique = tested.where(~F.col("_maybe")).select("digest", "payload")
-    unique.unionByName(tested.where("_maybe").select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{path}/payloads")
+    stored = unique.unionByName(tested.where("_maybe").select("digest", "payload").dropDuplicates(["digest"]))
+    stored.withColumn("small", F.octet_length("payload") < MIN_REVISIT).write.partitionBy("small").parquet(f"{path}/payloads")
 
 
 def _field(name: str, header: str = "header") -> Column:
@@ -88,35 +89,52 @@ def _present(value: Column) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit("no stored payload: "), F.col("digest"))))
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int"))
+
+
+def _headers(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/headers").where(_field("WARC-Type") == kind)
+
+
+def _responses(spark: SparkSession, path: str) -> DataFrame:
+    """header, digest, record, payload_bytes, payload_digest of the responses; each stored payload is read once."""
+    payloads = spark.read.schema("digest string, payload binary, small boolean").parquet(f"{path}/payloads")
+    checked = payloads.select("digest", _stored(F.col("payload"), F.col("digest")).alias("payload"), "small")
+    headers = _headers(spark, path, "response").withColumn("large", _field("Content-Length").cast("long") >= MIN_REVISIT)
+    # a large payload has one response; a small one may have any number, which are dealt over salts
+    large = headers.where("large").join(checked.where("NOT small").drop("small"), "digest", "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
+    small = _salted(headers.where("NOT large"))
+    dealt = small.select("digest", "salt").distinct().join(checked.where("small").drop("small"), "digest")
+    small = small.join(dealt, ["digest", "salt"], "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
+    whole = F.concat(F.encode("header", "UTF-8"), "payload", F.lit((EOL * 2).encode()))
+    return large.unionByName(small).select("header", "digest", whole.alias("record"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+
+
+def _revisits(spark: SparkSession, path: str, responses: DataFrame) -> DataFrame:
+    """The same of the revisits, whose record has no payload; the payload's size and digest are those of the response."""
+    rows = _salted(_headers(spark, path, "revisit"))
+    known = responses.where(F.col("payload_bytes") >= MIN_REVISIT).select("digest", "payload_bytes", "payload_digest")
+    dealt = rows.select("digest", "salt").distinct().join(known, "digest")
+    joined = rows.join(dealt, ["digest", "salt"], "left")
+    return joined.select("header", "digest", F.concat(F.encode("header", "UTF-8"), F.lit((EOL * 2).encode())).alias("record"), _present(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest")
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """header, record (exact bytes: header block, payload unless a revisit, two line ends), payload_bytes, payload_digest.
 
     Raises where a stored payload fails its digest or is missing.
     """
-    headers = spark.read.parquet(f"{path}/headers").withColumn("kind", _field("WARC-Type"))
-    payloads = spark.read.parquet(f"{path}/payloads")
-    checked = payloads.select("digest", _stored(F.col("payload"), F.col("digest")).alias("payload"))
-    responses = headers.where(F.col("kind") == "response").withColumn("large", _field("Content-Length").cast("long") >= MIN_REVISIT)
-    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int"))
-    # a large payload has one response; small ones, and what the revisits need, may have any number and go to salts
-    large = responses.where("large").join(checked.where(F.octet_length("payload") >= MIN_REVISIT), "digest", "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
-    small = salted(responses.where(~F.col("large")))
-    small_payloads = small.select("digest", "salt").distinct().join(checked.where(F.octet_length("payload") < MIN_REVISIT), "digest")
-    small = small.join(small_payloads, ["digest", "salt"], "left").select("header", "digest", _present(F.col("payload")).alias("payload"))
-    end = F.lit((EOL * 2).encode())
-    whole = large.unionByName(small).select("header", F.concat(F.encode("header", "UTF-8"), "payload", end).alias("record"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    revisits = salted(headers.where(F.col("kind") == "revisit"))
-    sizes = checked.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    sizes = revisits.select("digest", "salt").distinct().join(sizes, "digest")
-    rest = revisits.join(sizes, ["digest", "salt"], "left").select("header", F.concat(F.encode("header", "UTF-8"), end).alias("record"), _present(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest")
-    return whole.unionByName(rest)
+    responses = _responses(spark, path)
+    return responses.unionByName(_revisits(spark, path, responses)).drop("digest")
 
 
 def read_archive(spark: SparkSession, path: str, page_type: str = "long") -> DataFrame:
     """page_id, record_type, refers_to, payload_digest, payload_bytes of the rebuilt records."""
-    rebuilt = records(spark, path)
-    head = F.substring_index(F.col("record").cast("string"), EOL * 2, 1)
-    parsed = rebuilt.select(F.concat(head, F.lit(EOL)).alias("head"), "payload_digest", "payload_bytes")
+    head = F.concat(F.substring_index(F.col("record").cast("string"), EOL * 2, 1), F.lit(EOL)).alias("head")
+    narrow = ["digest", head, "payload_bytes", "payload_digest"]
+    responses = cut(_responses(spark, path).select(*narrow))
+    parsed = responses.unionByName(_revisits(spark, path, responses).select(*narrow))
     own = lambda name: F.url_decode(_field(name, "head")).cast(page_type)
     return parsed.select(own("X-Page-ID").alias("page_id"), _field("WARC-Type", "head").alias("record_type"), own("X-Refers-To-Page-ID").alias("refers_to"), "payload_digest", "payload_bytes")
 
