@@ -48,15 +48,20 @@ def suspects(rows: DataFrame, n: int, sha: str = "sha") -> tuple[DataFrame, int]
 
 
 def masks_of(keys: DataFrame, n: int, key: str = "sha") -> tuple[DataFrame, int]:
-    """(_bucket, _mask) that flag every one of the keys, and few others while they are fewer than 2**MAX_LOG_BITS / 8."""
-    log_bits = min(MAX_LOG_BITS, max(MIN_LOG_BITS, math.ceil(math.log2(8 * max(n, 1)))))
+    """(_bucket, _mask) that flag every one of the keys, and few others while they are fewer than 2**MAX_LOG_BITS / 32."""
+    log_bits = min(MAX_LOG_BITS, max(MIN_LOG_BITS, math.ceil(math.log2(32 * max(n, 1)))))
+    return _bitmap(keys.select(_word(F.col(key), log_bits)[0].alias("w"))), log_bits
+
+
+def _bitmap(numbers: DataFrame) -> DataFrame:
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
-    return keys.select(_word(F.col(key), log_bits)[0].alias("w")).groupBy(F.shiftright("w", 6).alias("_bucket")).agg(F.bit_or(one).alias("_mask")), log_bits
+    return numbers.groupBy(F.shiftright("w", 6).alias("_bucket")).agg(F.bit_or(one).alias("_mask"))
 
 
-def marked(rows: DataFrame, masks: DataFrame, log_bits: int, key: str = "sha", of=None) -> DataFrame:
-    """rows with ``_maybe``: whether the bitmap has the key; of: the key's expression where it isn't a column.  Callers keep columns _bucket, _mask, _w free."""
-    word, _ = _word(F.col(key) if of is None else of, log_bits)
+def marked(rows: DataFrame, masks: DataFrame, log_bits: int, key: str = "sha", number: Column | None = None) -> DataFrame:
+    """rows with ``_maybe``: whether the bitmap has the key; number: the key's bit, where it isn't that of its hash.  Callers
+    keep columns _bucket, _mask, _w free."""
+    word = _word(F.col(key), log_bits)[0] if number is None else number
     with_word = rows.withColumn("_w", word).withColumn("_bucket", F.shiftright("_w", 6))
     hit = F.call_function("bit_get", F.col("_mask"), F.col("_w").bitwiseAND(63).cast("int")) == 1
     return with_word.join(F.broadcast(masks), "_bucket", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_w", "_bucket", "_mask")
@@ -68,11 +73,16 @@ class Filter:
     def __init__(self, rows: DataFrame, sha: str = "sha"):
         words, self.log_words = suspects(rows, rows.count(), sha)
         words = cut(words)
-        masks, self.log_bits = masks_of(words, words.count(), "w")
-        self.masks = cut(masks)
+        self.log_bits = self.log_words
+        if self.log_words <= MAX_LOG_BITS:  # a bit a word
+            self.masks = cut(_bitmap(words))
+        else:  # more words than bits: flagged words share bits with few others while they are few
+            masks, self.log_bits = masks_of(words, words.count(), "w")
+            self.masks = cut(masks)
 
     def test(self, rows: DataFrame, sha: str = "sha") -> DataFrame:
-        return marked(rows, self.masks, self.log_bits, of=_word(F.col(sha), self.log_words)[0])
+        word = _word(F.col(sha), self.log_words)[0]
+        return marked(rows, self.masks, self.log_bits, number=word if self.log_bits == self.log_words else _word(word, self.log_bits)[0])
 
 
 def verdicts(rows: DataFrame) -> tuple[DataFrame, Filter]:

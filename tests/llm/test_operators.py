@@ -58,6 +58,13 @@ def test_exact_dedup(spark, docs, none):
         assert kept.columns == table.columns
         assert sorted(((r["doc_id"], norm(r["text"])) for r in kept.collect()), key=str) == sorted(((i, t) for t, i in best.items()), key=str)
     assert exact_dedup.exact_dedup(none).count() == 0
+    exact_dedup.MAX_LOG_BITS, most = 16, exact_dedup.MAX_LOG_BITS  # as if there were more words than bits
+    try:
+        many = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id") % 15000).alias("text"))
+        assert exact_dedup.Filter(exact_dedup.digests(many)).log_words > 16 or exact_dedup.suspects(exact_dedup.digests(many), 20000)[1] == 17
+        assert exact_dedup.exact_dedup(many).count() == 15000
+    finally:
+        exact_dedup.MAX_LOG_BITS = most
     hot = spark.createDataFrame([(i % 7 if i % 2 else None, "same  text") for i in range(600)], "doc_id long, text string").repartition(5)
     assert [tuple(r) for r in exact_dedup.exact_dedup(hot).collect()] == [(1, "same  text")] or exact_dedup.exact_dedup(hot).count() == 1
 
