@@ -482,7 +482,7 @@ def test_licenses_against_brute_force(spark):
 
 @pytest.mark.parametrize("module,column,least", [(quality, "quality", (0.95, 0.95)), (toxicity, "toxic", (0.82, 0.9))])
 def test_classifiers_on_held_out_rows(spark, module, column, least):
-    """Recall and precision of both classes; about one label in fifty is set at random (see the README)."""
+    """Recall and precision of both classes; see the README on toxicity."""
     d = "/root/testdata/sf0.1"
     run = quality.op3_quality if column == "quality" else toxicity.op6_toxicity
     out = run(spark, d)
